@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, mixing, sharding, url_filter
+from tessera.llm import decontamination, mixing, sharding, simhash, url_filter
 from tessera.llm.common import table, word_count
 
 #: Fixed rules of the URL query: (host, path, verdict).
@@ -14,6 +14,10 @@ URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net"
 URL_PATTERNS = (url_filter.Rule(None, r"\A(?:[^/]*\.)?ads-track\.", ("ads", "track"), "block", 0),)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, F.col("doc_id"), F.col("source"), word_count(F.col("text")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm import oracles, queries
 
 QUERIES = {
+    "op1_simhash": queries.op1_simhash,
     "op2_mixing": queries.op2_mixing,
     "op5_decontamination": queries.op5_decontamination,
     "op6_sharding": queries.op6_sharding,
