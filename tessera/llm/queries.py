@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, mixing, sharding, simhash, url_filter
+from tessera.llm import decontamination, mixing, sharding, simhash, topk, url_filter
 from tessera.llm.common import table, word_count
 
 #: Fixed rules of the URL query: (host, path, verdict).
@@ -24,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"], keep_text=False)
     hit = F.aggregate(F.arrays_zip("begins", "ends"), F.lit(0).cast("long"), lambda n, s: n + s["ends"] - s["begins"])

@@ -7,6 +7,7 @@ from tessera.llm import oracles, queries
 QUERIES = {
     "op1_simhash": queries.op1_simhash,
     "op2_mixing": queries.op2_mixing,
+    "op4_topk": queries.op4_topk,
     "op5_decontamination": queries.op5_decontamination,
     "op6_sharding": queries.op6_sharding,
     "op9_url_filter": queries.op9_url_filter,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLES = {
     "op2_mixing": oracles.OP2,
+    "op4_topk": oracles.OP4,
     "op5_decontamination": oracles.OP5,
     "op9_url_filter": oracles.OP9,
 }
