@@ -7,10 +7,12 @@ from tessera.llm import oracles, queries
 QUERIES = {
     "op1_simhash": queries.op1_simhash,
     "op2_mixing": queries.op2_mixing,
+    "op3_language": queries.op3_language,
     "op4_topk": queries.op4_topk,
     "op5_decontamination": queries.op5_decontamination,
     "op6_sharding": queries.op6_sharding,
     "op9_url_filter": queries.op9_url_filter,
+    "op10_toxicity": queries.op10_toxicity,
 }
 
 ORACLES = {

@@ -63,7 +63,7 @@ def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[str, int]:
     for i in range(0, len(wanted), RULES_PER_PASS):
         some = urls.sparkSession.createDataFrame([(t,) for t in wanted[i : i + RULES_PER_PASS]], "token string")
         tokens = F.array_distinct(F.regexp_extract_all(F.concat("host", "path"), F.lit("([0-9a-zA-Z]+)"), 1))
-        found = urls.select(F.explode(tokens).alias("token")).join(some, "token", "left_semi")
+        found = urls.select(F.explode(tokens).alias("token")).join(F.broadcast(some), "token", "left_semi")  # at most RULES_PER_PASS tokens
         counts |= {r["token"]: r["count"] for r in found.groupBy("token").count().collect()}  # at most one row for each rule token
     return counts
 
