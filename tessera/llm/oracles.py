@@ -53,6 +53,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 """
 
+OP7 = r"""
+WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, text, list(x ORDER BY i) AS xs, list(i ORDER BY i) AS ix FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id, text),
+w AS (SELECT doc_id, text, ix[s] AS start, [ix[s], ix[s + 1], ix[s + 2]] AS lines, xs[s : s + 2] AS body
+      FROM (SELECT *, unnest(range(1, len(xs) - 1)) AS s FROM n WHERE len(xs) >= 3)),
+f AS (SELECT body, min((doc_id, start)) AS first FROM w GROUP BY body),
+g AS (SELECT DISTINCT doc_id, text, unnest(lines) AS i FROM w JOIN f USING (body) WHERE (doc_id, start) > first),
+k AS (SELECT l.doc_id, l.text, string_agg(l.x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS kept, count(g.i) AS n_removed
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.text = g.text AND l.i = g.i GROUP BY l.doc_id, l.text)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id AND d.text = k.text
+"""
+
 OP9 = r"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),

@@ -11,6 +11,7 @@ QUERIES = {
     "op4_topk": queries.op4_topk,
     "op5_decontamination": queries.op5_decontamination,
     "op6_sharding": queries.op6_sharding,
+    "op7_line_dedup": queries.op7_line_dedup,
     "op9_url_filter": queries.op9_url_filter,
     "op10_toxicity": queries.op10_toxicity,
 }
@@ -19,5 +20,6 @@ ORACLES = {
     "op2_mixing": oracles.OP2,
     "op4_topk": oracles.OP4,
     "op5_decontamination": oracles.OP5,
+    "op7_line_dedup": oracles.OP7,
     "op9_url_filter": oracles.OP9,
 }

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.ftrl import Ftrl
 
-SAMPLE, CLEAN, TELLING, EPOCHS, REJECT, RARE = 4000, 2, 5, 4, 0.5, 3
+SAMPLE, CLEAN, TELLING, EPOCHS, REJECT, RARE = 4000, 3, 5, 6, 0.15, 3
 #: ASCII that is neither letter nor digit becomes a space.
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
@@ -54,6 +54,21 @@ def grades(flags: list[int], bags: list[set[bytes]]) -> list[int]:
     return [(1 + (h > middle)) if y else 0 for y, h in zip(flags, hits, strict=True)]
 
 
+def associated(bags: list[set[bytes]], flagged: list[bool]) -> list[bytes]:
+    """Features whose share of flagged examples is beyond chance: by Chernoff's bound less than a tenth of a feature would
+    be kept if none told anything."""
+    df, hit = Counter(f for bag in bags for f in bag), Counter(f for bag, y in zip(bags, flagged, strict=True) if y for f in bag)
+    share = sum(flagged) / len(flagged)
+    names = sorted(f for f, n in df.items() if n >= RARE)
+    n, k = np.array([df[f] for f in names], float), np.array([hit[f] for f in names], float)
+    divergence = xlogy(k, k / n / share) + xlogy(n - k, (n - k) / n / (1 - share))
+    return [f for f, d in zip(names, divergence.tolist(), strict=True) if d >= np.log(10 * len(names))]
+
+
+def xlogy(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.where(y > 0, y, 1.0)), 0.0)
+
+
 class Ordinal:
     """Shared weights by feature, and ordered thresholds."""
 
@@ -66,12 +81,12 @@ class Ordinal:
         top = max(targets, default=0)
         if top == 0 or min(targets) == top:
             return cls({}, np.zeros(0))
-        df = Counter(f for bag in bags for f in bag)
-        index = {f: i for i, f in enumerate(sorted(f for f, n in df.items() if n >= RARE))}
+        kept = associated(bags, [y > 0 for y in targets])
+        index = {f: i for i, f in enumerate(kept)}
         rows = [np.array([index[f] for f in bag if f in index], np.int64) for bag in bags]
         share = np.array([np.mean([y <= j for y in targets]) for j in range(top)]).clip(0.01, 0.99)
         theta, seen = np.log(share / (1 - share)), np.zeros(top)
-        model, rng = Ftrl(len(index), alpha=0.5, l1=1.0, l2=0.1), np.random.default_rng(11)
+        model, rng = Ftrl(len(index), alpha=2.0, l1=0.5, l2=0.01), np.random.default_rng(11)
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):
                 ids, y = rows[i], targets[i]
