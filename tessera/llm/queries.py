@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, language, line_dedup, mixing, sharding, simhash, topk, toxicity, url_filter
+from tessera.llm import decontamination, language, line_dedup, mixing, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 from tessera.llm.common import table, word_count
 
 #: Fixed rules of the URL query: (host, path, verdict).
@@ -56,6 +56,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [*(url_filter.host_rule(*r) for r in URL_RULES), *URL_PATTERNS]
     return url_filter.judge(table(spark, sf_dir, "pages"), rules, id_col="page_id", url_col="url")

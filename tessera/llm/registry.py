@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontamination": queries.op5_decontamination,
     "op6_sharding": queries.op6_sharding,
     "op7_line_dedup": queries.op7_line_dedup,
+    "op8_suffix_dedup": queries.op8_suffix_dedup,
     "op9_url_filter": queries.op9_url_filter,
     "op10_toxicity": queries.op10_toxicity,
 }
