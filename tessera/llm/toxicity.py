@@ -16,7 +16,7 @@ judged alike; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.ftrl import Ftrl
 
-SAMPLE, CLEAN, TELLING, EPOCHS, REJECT, RARE = 4000, 3, 5, 6, 0.15, 3
+SAMPLE, CLEAN, TELLING, EPOCHS, REJECT, RARE = 3000, 3, 5, 6, 0.15, 3
 #: ASCII that is neither letter nor digit becomes a space.
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
@@ -44,31 +44,44 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def grades(flags: list[int], bags: list[set[bytes]]) -> list[int]:
-    toxic, clean = Counter(), Counter()
-    for y, bag in zip(flags, bags, strict=True):
-        (toxic if y else clean).update(bag)
-    telling = {w for w, n in toxic.items() if n >= TELLING and w not in clean}
-    hits = [len(telling & bag) for bag in bags]
-    middle = np.median([h for y, h in zip(flags, hits, strict=True) if y]) if any(flags) else 0
-    return [(1 + (h > middle)) if y else 0 for y, h in zip(flags, hits, strict=True)]
+class Tally:
+    """How many flagged and how many of all examples hold each feature, by a hash of 22 bits: what a fit holds of the
+    sample's vocabulary does not depend on its size."""
 
+    def __init__(self, bags: list[bytes], flagged: list[bool]):
+        self.hit, self.all = np.zeros(1 << 22, np.int32), np.zeros(1 << 22, np.int32)
+        for bag, y in zip(bags, flagged, strict=True):
+            at = np.unique([self.slot(f) for f in features(set(bag.split()))]).astype(np.int64)
+            self.all[at] += 1
+            if y:
+                self.hit[at] += 1
+        share = min(max(sum(flagged) / max(1, len(flagged)), 1e-6), 1 - 1e-6)
+        n, k = self.all.astype(float), self.hit.astype(float)
+        n1 = np.maximum(n, 1)
+        divergence = xlogy(k, k / n1 / share) + xlogy(n - k, (n - k) / n1 / (1 - share))
+        #: By Chernoff's bound less than a tenth of a feature would be kept if none told anything.
+        self.kept = (self.all >= RARE) & (divergence >= np.log(10 * max(1, int((self.all >= RARE).sum()))))
 
-def associated(bags: list[set[bytes]], flagged: list[bool]) -> list[bytes]:
-    """Features whose share of flagged examples is beyond chance: by Chernoff's bound less than a tenth of a feature would
-    be kept if none told anything."""
-    df, hit = Counter(f for bag in bags for f in bag), Counter(f for bag, y in zip(bags, flagged, strict=True) if y for f in bag)
-    share = sum(flagged) / len(flagged)
-    names = sorted(f for f, n in df.items() if n >= RARE)
-    n, k = np.array([df[f] for f in names], float), np.array([hit[f] for f in names], float)
-    divergence = xlogy(k, k / n / share) + xlogy(n - k, (n - k) / n / (1 - share))
-    return [f for f, d in zip(names, divergence.tolist(), strict=True) if d >= np.log(10 * len(names))]
+    @staticmethod
+    def slot(feature: bytes) -> int:
+        return zlib.crc32(feature) & 0x3FFFFF
+
+    def telling(self, word: bytes) -> bool:
+        k = self.slot(word + b" ")
+        return bool(self.hit[k] >= TELLING and self.hit[k] == self.all[k])
 
 
 def xlogy(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.where(y > 0, y, 1.0)), 0.0)
 
 
+def grades(flags: list[int], bags: list[bytes], tally: Tally) -> list[int]:
+    """0 for unflagged examples; flagged ones are 2 where they hold more than the median number of telling words, else 1."""
+    hits = [sum(map(tally.telling, bag.split())) if y else 0 for y, bag in zip(flags, bags, strict=True)]
+    middle = np.median([h for y, h in zip(flags, hits, strict=True) if y]) if any(flags) else 0
+    return [(1 + (h > middle)) if y else 0 for y, h in zip(flags, hits, strict=True)]
+
+
 class Ordinal:
     """Shared weights by feature, and ordered thresholds."""
 
@@ -77,13 +90,14 @@ class Ordinal:
         self.keys = set(weights)
 
     @classmethod
-    def fit(cls, bags: list[set[bytes]], targets: list[int], *, epochs: int = EPOCHS) -> Ordinal:
+    def fit(cls, bags: list[bytes], targets: list[int], tally: Tally | None = None, *, epochs: int = EPOCHS) -> Ordinal:
+        """``bags``: the distinct words of each example, joined by spaces."""
         top = max(targets, default=0)
         if top == 0 or min(targets) == top:
             return cls({}, np.zeros(0))
-        kept = associated(bags, [y > 0 for y in targets])
-        index = {f: i for i, f in enumerate(kept)}
-        rows = [np.array([index[f] for f in bag if f in index], np.int64) for bag in bags]
+        tally = tally or Tally(bags, [y > 0 for y in targets])
+        index: dict[bytes, int] = {}
+        rows = [np.array(sorted(index.setdefault(f, len(index)) for f in sorted(features(set(bag.split()))) if tally.kept[Tally.slot(f)]), np.int64) for bag in bags]
         share = np.array([np.mean([y <= j for y in targets]) for j in range(top)]).clip(0.01, 0.99)
         theta, seen = np.log(share / (1 - share)), np.zeros(top)
         model, rng = Ftrl(len(index), alpha=2.0, l1=0.5, l2=0.01), np.random.default_rng(11)
@@ -127,10 +141,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     rows = found.select(id_col, "_y", text_col).mapInArrow(bag, f"id {dict(docs.dtypes)[id_col]}, y int, words binary").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["words"])))
-    bags = [set(bytes(r["words"]).split()) for r in rows]
-    flags = [r["y"] for r in rows]
-    targets = grades(flags, bags) if max(flags, default=0) <= 1 else [max(0, y) for y in flags]
-    return Ordinal.fit([features(b) for b in bags], targets)
+    bags, flags = [bytes(r["words"]) for r in rows], [max(0, r["y"]) for r in rows]
+    tally = Tally(bags, [y > 0 for y in flags])
+    return Ordinal.fit(bags, grades(flags, bags, tally) if max(flags, default=0) <= 1 else flags, tally)
 
 
 def score(docs: DataFrame, model: Ordinal, *, carry: list[str], text_col: str = "text", reject: float = REJECT) -> DataFrame:
