@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import retrieval
+from tessera.plans import graphs, logs, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, graphs, logs)
 QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
