@@ -125,13 +125,17 @@ class _Forest:
         return out
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64))  # of signed numbers numpy would count the bits of the absolute value
+
+
 def _link_small(keys: np.ndarray, fps: np.ndarray, forest: _Forest, max_bits: int, reach: int) -> None:
     """Groups lie together; compares each row with the next ones, ``reach`` at most, of its group."""
     for s in range(1, reach):
         same = np.flatnonzero(keys[s:] == keys[:-s])
         if not len(same):
             break
-        near = same[np.bitwise_count(fps[same] ^ fps[same + s]) <= max_bits]
+        near = same[_bits(fps[same] ^ fps[same + s]) <= max_bits]
         for a, b in zip(fps[near].tolist(), fps[near + s].tolist(), strict=True):
             forest.join(a, b)
 
@@ -141,7 +145,7 @@ def _link_large(fps: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.
     that join two of them are reported."""
     for i in range(0, len(left), 512):
         rows = left[i : i + 512]
-        near = np.bitwise_count(fps[rows][:, None] ^ fps[right][None, :]) <= max_bits
+        near = _bits(fps[rows][:, None] ^ fps[right][None, :]) <= max_bits
         for k, touched in zip(rows.tolist(), near, strict=True):
             met, first = np.unique(label[right[touched]], return_index=True)
             others = met != label[k]
