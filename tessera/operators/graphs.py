@@ -14,6 +14,8 @@ from tessera.operators.lineage import checkpointed
 ALPHA, TOLERANCE, ROUNDS = 0.85, 1e-6, 100
 PERSONAL_ROUNDS, PERSONAL_TOLERANCE, PERSONAL_DEPTH, SCOPE_MASS = 20, 0.01, 3, 0.9
 COARSE, FINE, CAP = 0.5, 2.0, 30
+#: Edges and nodes up to which a graph is ranked in memory.
+LOCAL_EDGES = 100_000
 
 
 def merged_edges(calls: DataFrame) -> DataFrame:
@@ -51,13 +53,16 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, direction: str = "out
     return seen.where("depth > 0")
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, *, rounds: int | None = None, restart: DataFrame | None = None, alpha: float = ALPHA, tolerance: float = TOLERANCE, most: int = ROUNDS) -> tuple[DataFrame, bool]:
+def pagerank(edges: DataFrame, nodes: DataFrame, *, rounds: int | None = None, restart: DataFrame | None = None, alpha: float = ALPHA, tolerance: float = TOLERANCE, most: int = ROUNDS, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, bool]:
     """(id, pr) and whether it converged. Weighted; nodes without outgoing edges spread by the restart weights (uniform
-    unless given as (id, p)); stops where the change is under nodes x tolerance, or after exactly ``rounds``."""
+    unless given as (id, p)); stops where the change is under nodes x tolerance, or after exactly ``rounds``. A graph whose
+    nodes and edges are few (the number is checked) is iterated in memory, by the same rule."""
     nodes = nodes.select("id").distinct()
     n = nodes.count()
     if not n:
         return nodes.withColumn("pr", F.lit(0.0)), True
+    if rounds is None and n <= local_edges and len(few := edges.select("src", "dst", "weight").limit(local_edges + 1).collect()) <= local_edges:
+        return _pagerank_in_memory(few, nodes, restart, alpha, tolerance, most)
     strength = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     links = checkpointed(edges.join(strength, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     if restart is None:
@@ -83,6 +88,23 @@ def pagerank(edges: DataFrame, nodes: DataFrame, *, rounds: int | None = None, r
     return ranks, fixed
 
 
+def _pagerank_in_memory(edges: list, nodes: DataFrame, restart: DataFrame | None, alpha: float, tolerance: float, most: int) -> tuple[DataFrame, bool]:
+    names = sorted(r["id"] for r in nodes.collect())
+    at, n = {v: i for i, v in enumerate(names)}, len(names)
+    given = {} if restart is None else {r["id"]: r["p"] for r in restart.collect()}
+    p = np.full(n, 1.0 / n) if restart is None else np.array([given.get(v, 0.0) for v in names]) / sum(given.values())
+    src, dst = np.array([at[r["src"]] for r in edges], np.int64), np.array([at[r["dst"]] for r in edges], np.int64)
+    weight = np.array([float(r["weight"]) for r in edges])
+    total = np.bincount(src, weight, n)
+    share, loose, x, done = weight / np.maximum(total[src], 1e-300), total == 0, np.full(n, 1.0 / n), False
+    for _ in range(most):
+        now = alpha * (np.bincount(dst, x[src] * share, n) + x[loose].sum() * p) + (1 - alpha) * p
+        done, x = float(np.abs(now - x).sum()) < n * tolerance, now
+        if done:
+            break
+    return nodes.sparkSession.createDataFrame(list(zip(names, map(float, x), strict=True)), f"id {dict(nodes.dtypes)['id']}, pr double"), done
+
+
 def personalised_pagerank(edges: DataFrame, nodes: DataFrame, static: DataFrame, seeds: DataFrame, *, depth: int = PERSONAL_DEPTH, seed_mass: float = 1.0) -> DataFrame:
     """(id, pr) of every node: restarts at the seeds, within ``depth`` undirected steps of them; elsewhere, without seeds
     and without convergence the static score. ``seed_mass`` < 1 leaves the rest to the other nodes in reach."""

@@ -77,6 +77,8 @@ def test_graph(spark):
     scores, ok = graphs.pagerank(e, nodes)
     pr = {r.id: r.pr for r in scores.collect()}
     assert ok and abs(sum(pr.values()) - 1) < 1e-6 and pr["d"] > pr["e"]
+    far, ok = graphs.pagerank(e, nodes, local_edges=0)
+    assert ok and all(abs(r.pr - pr[r.id]) < 1e-9 for r in far.collect())
     mine = graphs.personalised_pagerank(e, nodes, scores, nodes.where("id = 'e'"))
     got = {r.id: r.pr for r in mine.collect()}
     assert got["e"] > pr["e"] and len(got) == 6
