@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.ftrl import Ftrl
 
-SAMPLE, CLEAN, TELLING, EPOCHS, REJECT, RARE = 3000, 3, 5, 6, 0.15, 3
+SAMPLE, CLEAN, TELLING, EPOCHS, REJECT, RARE = 2000, 3, 5, 6, 0.2, 3
 #: ASCII that is neither letter nor digit becomes a space.
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
@@ -56,11 +56,13 @@ class Tally:
             if y:
                 self.hit[at] += 1
         share = min(max(sum(flagged) / max(1, len(flagged)), 1e-6), 1 - 1e-6)
-        n, k = self.all.astype(float), self.hit.astype(float)
-        n1 = np.maximum(n, 1)
-        divergence = xlogy(k, k / n1 / share) + xlogy(n - k, (n - k) / n1 / (1 - share))
         #: By Chernoff's bound less than a tenth of a feature would be kept if none told anything.
-        self.kept = (self.all >= RARE) & (divergence >= np.log(10 * max(1, int((self.all >= RARE).sum()))))
+        needed = np.log(10 * max(1, int((self.all >= RARE).sum())))
+        self.kept = np.zeros(len(self.all), bool)
+        for i in range(0, len(self.all), 1 << 17):  # a block at a time, for the driver's memory
+            n, k = self.all[i : i + (1 << 17)].astype(float), self.hit[i : i + (1 << 17)].astype(float)
+            n1 = np.maximum(n, 1)
+            self.kept[i : i + (1 << 17)] = (n >= RARE) & (xlogy(k, k / n1 / share) + xlogy(n - k, (n - k) / n1 / (1 - share)) >= needed)
 
     @staticmethod
     def slot(feature: bytes) -> int:
@@ -142,6 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = found.select(id_col, "_y", text_col).mapInArrow(bag, f"id {dict(docs.dtypes)[id_col]}, y int, words binary").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["words"])))
     bags, flags = [bytes(r["words"]) for r in rows], [max(0, r["y"]) for r in rows]
+    del rows
     tally = Tally(bags, [y > 0 for y in flags])
     return Ordinal.fit(bags, grades(flags, bags, tally) if max(flags, default=0) <= 1 else flags, tally)
 
