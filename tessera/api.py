@@ -97,6 +97,82 @@ class Index:
     def status(self) -> DataFrame:
         return self.code.symbols.agg(F.count(F.lit(1)).alias("symbols"), F.countDistinct("file_path").alias("files"), F.sort_array(F.collect_set("language")).alias("languages"))
 
+    def graph_export(self) -> tuple[DataFrame, DataFrame]:
+        """(nodes with score, edges) for display."""
+        nodes = self.code.symbols.select("id", "qualified_name", "kind", tx.module_of(F.col("file_path")).alias("module")).join(self.scores, "id", "left")
+        return nodes, self.edges.select("src", "dst", "edge_type", "weight")
+
+    def modules(self) -> DataFrame:
+        return self.code.symbols.groupBy(tx.module_of(F.col("file_path")).alias("module")).agg(F.count(F.lit(1)).alias("symbols"))
+
+    def by_file(self, symbols: DataFrame) -> DataFrame:
+        """(file_path, n, symbols): the compact shape of a listing, files in order."""
+        one = F.struct("line_start", "id", "qualified_name", "kind")
+        return symbols.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(one)).alias("symbols")).orderBy("file_path")
+
+    def debug_seeds(self, query: str, depth: int = 1) -> DataFrame:
+        """(id): what the symbol that a debugging query names leads to; nothing for other queries."""
+        q = self.spark.createDataFrame([(query,)], "q string").select(tx.intent(F.col("q")).alias("intent"), tx.symbol_reference(F.col("q")).alias("reference")).where("intent = 'debug' and reference is not null")
+        start = self.code.symbols.join(F.broadcast(q), (F.col("qualified_name") == F.col("reference")) | (F.col("name") == F.col("reference"))).select(F.col("id").alias("start"))
+        return graphs.reach(self.edges, start, depth).select(F.col("node").alias("id")).distinct()
+
+    def related(self, suggestions: DataFrame, symbol: str, limit: int = 5) -> DataFrame:
+        """The first suggestions (a, b, confidence, support) of a symbol; unknown ids fall out after the cut."""
+        top = suggestions.where(F.col("a") == symbol).orderBy(F.col("confidence").desc(), "b").limit(limit)
+        return top.join(self.code.symbols.select(F.col("id").alias("b"), "qualified_name"), "b").select(F.col("b").alias("id"), "qualified_name", "confidence", "support")
+
+    def source(self, symbol: str, files: DataFrame, session: governor.Session, relevance: float = 1.0) -> dict:
+        """A symbol's source under a session's budget: members' signatures instead of a costly class; redacted; the parent's
+        signature comes first, once a session. Raises KeyError for an unknown id."""
+        row = self.code.symbols.where(F.col("id") == symbol).join(files.select(F.col("path").alias("file_path"), "content"), "file_path").first()
+        if row is None:
+            raise KeyError(symbol)
+        text = bytes(row["content"])[row["byte_start"] : row["byte_end"]].decode("utf-8", "replace")
+        members = [r["signature"] for r in self.code.symbols.where(F.col("parent_id") == symbol).orderBy("byte_start").select("signature").collect()]
+        parent = self.code.symbols.where(F.col("id") == row["parent_id"]).select("id", "signature", "docstring").first() if row["parent_id"] else None
+        lead = "" if parent is None else "\n".join(filter(None, [parent["signature"], parent["docstring"]]))
+        texts = self.spark.createDataFrame([(text, lead, "\n".join([row["signature"], *members]))], "own string, lead string, brief string")
+        cost = texts.select(*[tx.token_estimate(F.col(c)).alias(c) for c in texts.columns], tx.redact(F.col("own")).alias("clean")).first()
+        brief = bool(members) and cost["own"] > governor.DECOMPOSE
+        owed = cost["brief"] if brief else session.marginal(cost["own"], None if parent is None else parent["id"], cost["lead"])
+        got = session.request([(symbol, relevance, int(owed))])
+        if symbol in got["denied"]:
+            return {"id": symbol, "denied": True, "cost": owed, "evicted": got["evicted"]}
+        if brief:
+            return {"id": symbol, "denied": False, "signatures": [row["signature"], *members], "evicted": got["evicted"]}
+        fresh = parent is not None and parent["id"] not in session.shared
+        if fresh:
+            session.shared.add(parent["id"])
+        return {"id": symbol, "denied": False, "source": (lead + "\n" if fresh else "") + cost["clean"], "redacted": cost["clean"] != text, "evicted": got["evicted"]}
+
+    def conventions(self) -> DataFrame:
+        """(kind, text, confidence) of what the code base mostly does."""
+        errors = checks.error_handling(self.code).select(F.lit("error_handling").alias("kind"), F.col("pattern").alias("text"), documents.ratio(F.col("n"), F.col("total")).alias("confidence"))
+        d = checks.docstrings(self.code)
+        docs = d.select(F.lit("docstrings").alias("kind"), F.concat(F.col("dominant_style"), F.lit(" docstrings")).alias("text"), documents.ratio(F.col("dominant_count"), F.col("documented")).alias("confidence"))
+        i = checks.import_style(self.code)
+        imports = i.select(F.lit("imports").alias("kind"), F.concat(F.col("dominant"), F.lit(" imports")).alias("text"), documents.ratio(F.greatest("relative", "absolute"), F.col("relative") + F.col("absolute")).alias("confidence"))
+        return errors.unionByName(docs).unionByName(imports)
+
+    def context_document(self, previous_hash: str | None = None) -> tuple[str | None, str]:
+        """(markdown, hash); no document where nothing changed since ``previous_hash``."""
+        facts = self.conventions()
+        parts = self.architecture().select(F.lit("architecture").alias("kind"), F.format_string("%s leads %d symbols", "representative", "member_count").alias("text"), F.lit(1.0).alias("confidence"))
+        entries = facts.unionByName(parts)
+        now = documents.input_hash(entries).first()["hash"]
+        if now == previous_hash:
+            return None, now
+        kept = entries.join(documents.within_budget(entries).select("text"), "text", "left_semi").orderBy("kind", "text").collect()
+        sections: dict[str, list[str]] = {}
+        for r in kept:
+            sections.setdefault(r["kind"].replace("_", " ").capitalize(), []).append(r["text"])
+        return documents.render(sections), now
+
+    def report(self) -> DataFrame:
+        """One row of JSON: worst smells, dead code and untested symbols."""
+        as_json = lambda df, name: df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias(name))
+        return as_json(self.smells(), "smells").crossJoin(as_json(self.dead_code().limit(graphs.CAP), "dead_code")).crossJoin(as_json(self.untested(), "untested"))
+
     def churn(self, touches: DataFrame, now: float) -> DataFrame:
         """touches: (id, committed_at), a row for every overlapping hunk."""
         return mining.decayed_sum(touches, self.code.symbols, key="id", days=(F.lit(now) - F.col("committed_at")) / 86400)

@@ -143,3 +143,25 @@ def test_search_and_graph(index, spark):
 def test_drift(index, spark):
     env = spark.createDataFrame([("# x\nA=1\nB = 2\n\nnope",)], "text string")
     assert {(r.env_name, r.kind) for r in checks.config_drift(index.code, env).collect()} == {("A", "unknown_in_settings"), ("B", "unknown_in_settings")}
+
+
+def test_served_source(index, spark):
+    from tessera.operators.governor import Session
+
+    files = spark.createDataFrame([(p, t.encode()) for p, t in FILES.items()], "path string, content binary")
+    ids = {r.qualified_name: r.id for r in index.code.symbols.collect()}
+    s = Session()
+    first, second = index.source(ids["Shape.area"], files, s), index.source(ids["Shape.scale"], files, s)
+    assert first["source"].startswith("class Shape") and second["source"].startswith("def scale") and s.used > 0
+    assert index.source(ids["double"], files, Session(1))["denied"]
+    with pytest.raises(KeyError):
+        index.source("nope", files, s)
+
+
+def test_reports(index, spark):
+    text, digest = index.context_document()
+    assert "absolute imports" in text and index.context_document(digest) == (None, digest)
+    assert {r.id for r in index.debug_seeds("fix the bug in Square.area").collect()} and index.debug_seeds("hello").count() == 0
+    nodes, edges = index.graph_export()
+    assert nodes.count() == index.code.symbols.count() and "smells" in index.report().columns
+    assert [r.file_path for r in index.by_file(index.list_symbols()).collect()] == sorted(p for p in FILES if "broken" not in p)
