@@ -154,9 +154,10 @@ def _match_pass(window: int):
 
 
 def _cut_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the spans asked for."""
+    """The bytes of the spans asked for, where there are any."""
     for b in batches:
         docs, tags, fps, starts, parts = [], [], [], [], []
+        b = b.filter(b.column(3).is_valid())
         for doc, tag, raw, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), strict=True):
             for s in spans:
                 docs.append(doc)
@@ -205,6 +206,12 @@ def _sort_pass(window: int, shard_bytes: int):
     return run
 
 
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, tag, text) of every row; two joins read it, with one exchange if the plans agree."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"), text.alias("text"))
+
+
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc, tag, spans): what to remove of each document; spans may overlap."""
     usable = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where(F.col("doc").isNotNull() & (F.octet_length("text") >= window))
@@ -212,9 +219,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shards = max(1, -(-size // SHARD_BYTES))
     packed = usable.mapInArrow(_fingerprint_pass(shards, window, gram), "shard int, blob binary")
     found = checkpointed(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_match_pass(window), SPANS))
-    tagged = usable.withColumn("tag", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int"))
     asked = found.where("kind = 1").groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "e", "fp")).alias("spans"))
-    parts = asked.join(tagged, ["doc", "tag"]).select("doc", "tag", "text", "spans").mapInArrow(_cut_pass, "fp long, doc long, tag int, a long, part binary")
+    # An outer join, as in without_repeats: texts are then dealt once for both joins.
+    parts = _dealt(docs, id_col, text_col).join(asked, ["doc", "tag"], "left").select("doc", "tag", "text", "spans").mapInArrow(_cut_pass, "fp long, doc long, tag int, a long, part binary")
     settled = parts.repartition("fp").sortWithinPartitions("fp").mapInArrow(_sort_pass(window, SORT_BYTES), SPANS)
     spans = found.where("kind = 0").unionByName(settled)
     return spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
@@ -223,9 +230,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep_bytes: bool = True) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept_sha256 of every row, and the remaining bytes as ``kept``."""
     gone = repeated_spans(docs, id_col=id_col, text_col=text_col, window=window, gram=gram)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    tag = F.crc32(F.col("_text").cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    joined = rows.withColumn("_tag", tag).join(gone, (F.col(id_col) == F.col("doc")) & (F.col("_tag") == F.col("tag")), "left").select(id_col, "_text", "spans")
+    joined = _dealt(docs, id_col, text_col).join(gone, ["doc", "tag"], "left").select("doc", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,4 +252,4 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.binary())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(cut, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
