@@ -69,11 +69,10 @@ class Queues:
 def _s_types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one. The last place (a separator) counts as S."""
     n = len(text)
-    up = np.ones(n, bool)
     differ = np.flatnonzero(text[:-1] != text[1:])  # equal neighbours take the type of what ends their run
-    up[differ] = text[differ] < text[differ + 1]
     ends = np.r_[differ, n - 1]
-    return up[ends[np.searchsorted(ends, np.arange(n))]]
+    rising = np.r_[text[differ] < text[differ + 1], True]
+    return np.repeat(rising, np.diff(ends, prepend=-1))
 
 
 def _words(text: np.ndarray, depth: int) -> np.ndarray:
@@ -131,24 +130,35 @@ def sorted_suffixes(text: np.ndarray, depth: int, memory: int = MEMORY) -> Itera
             right.push(text[before], before)
 
 
-def repeats(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator[np.ndarray]:
-    """Groups of two or more places whose first ``depth`` symbols are equal and hold no separator."""
+def repeats(text: np.ndarray, depth: int, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, begins): groups of two or more places whose first ``depth`` symbols are equal and hold no separator, end to
+    end, and where each group begins."""
     words = _words(text, depth)
     zeros = np.r_[np.flatnonzero(text == 0), len(text)]
+    fits = np.repeat(zeros, np.diff(zeros, prepend=-1))[: len(text)] - np.arange(len(text)) >= depth
     tail = np.zeros(0, np.int64)
+
+    def groups(block: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.diff(cuts)
+        several = sizes > 1
+        return block[np.repeat(several, sizes)], np.r_[0, np.cumsum(sizes[several])][:-1]
+
     for block in sorted_suffixes(text, depth, memory):
-        block = block[zeros[np.searchsorted(zeros, block)] - block >= depth]
-        block = np.r_[tail, block]
-        if not len(block):
+        block = np.r_[tail, block[fits[block]]]
+        if len(block) < 2:
             tail = block
             continue
-        same = np.ones(len(block) - 1, bool)
-        for at in [*range(0, depth - 7, 7), depth - 7]:
-            same &= words[block[1:] + at] == words[block[:-1] + at]
-        cuts = np.r_[0, np.flatnonzero(~same) + 1, len(block)]
-        sizes = np.diff(cuts)
-        for k in np.flatnonzero(sizes[:-1] > 1):
-            yield block[cuts[k] : cuts[k + 1]]
+        # A neighbour that differs mostly does so in its first symbols: later words are compared only where all before agree.
+        same = np.flatnonzero(words[block[1:]] == words[block[:-1]])
+        for at in [*range(7, depth - 7, 7), depth - 7]:
+            same = same[words[block[same + 1] + at] == words[block[same] + at]]
+        apart = np.ones(len(block) + 1, bool)
+        apart[same + 1] = False
+        cuts = np.flatnonzero(apart)
+        if len(cuts) > 2:
+            places, begins = groups(block[: cuts[-2]], cuts[:-1])
+            if len(begins):
+                yield places, begins
         tail = block[cuts[-2] :]
     if len(tail) > 1:
-        yield tail
+        yield tail, np.zeros(1, np.int64)

@@ -176,14 +176,17 @@ def _sort_pass(window: int, shard_bytes: int):
         begin = np.r_[0, np.cumsum(sizes)]
         text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int16) + 1
         text[begin[1:] - 1] = 0
-        doc, tag, start = np.array(docs), np.array(tags), np.array(starts)
+        # By place: the document and, to add to the place, where its part begins.
+        doc, tag = np.repeat(np.array(docs), sizes), np.repeat(np.array(tags), sizes)
+        shift = np.repeat(np.array(starts) - begin[:-1], sizes)
         spans = [[], [], [], []]
-        for group in repeats(text, window):
-            of = np.searchsorted(begin, group, side="right") - 1
-            later = doc[of] > doc[of].min()
-            if later.any():
-                of, a = of[later], (start[of] + group - begin[of])[later]
-                for x, y in zip(spans, (doc[of], tag[of], a, a + window), strict=True):
+        for places, begins in repeats(text, window):
+            owner = doc[places]
+            least = np.repeat(np.minimum.reduceat(owner, begins), np.diff(np.r_[begins, len(places)]))
+            later = places[owner > least]
+            if len(later):
+                a = later + shift[later]
+                for x, y in zip(spans, (doc[later], tag[later], a, a + window), strict=True):
                     x.append(y)
         found = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in spans]
         merged = _merged(*found)
@@ -192,14 +195,19 @@ def _sort_pass(window: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = ([], [], [], []), 0, None
         for b in batches:
-            for fp, *row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            fps = b.column(0).to_pylist()
+            docs, tags, starts, parts = (b.column(k).to_pylist() for k in range(1, 5))
+            done = 0
+            for i, fp in enumerate(fps):
                 if fp != last and size >= shard_bytes:
+                    for x, y in zip(held, (docs, tags, starts, parts), strict=True):
+                        x.extend(y[done:i])
                     yield settle(*held)
-                    held, size = ([], [], [], []), 0
+                    held, size, done = ([], [], [], []), 0, i
                 last = fp
-                for x, y in zip(held, row, strict=True):
-                    x.append(y)
-                size += len(row[3]) + 1
+                size += len(parts[i]) + 1
+            for x, y in zip(held, (docs, tags, starts, parts), strict=True):
+                x.extend(y[done:])
         if size:
             yield settle(*held)
 
