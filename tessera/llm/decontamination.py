@@ -20,6 +20,9 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import free_name
 
 WINDOW = 13
 WORDS_PER_PASS = 2_000_000
@@ -149,14 +152,16 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-FOUND = "n_words long, begins array<int>, ends array<int>, items array<string>"
+FOUND = {"n_words": "long", "begins": "array<int>", "ends": "array<int>", "items": "array<string>"}
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: list[str], keep_text: bool = True, window: int = WINDOW) -> DataFrame:
-    """``carry`` columns (and the text) of each document with n_words, the hit word spans and the ids of the items."""
+    """``carry`` columns (and the text) of each document with n_words, the hit word spans (begins, ends) and the ids of the
+    items; these are underscored where ``carry`` has such a name."""
     spark = docs.sparkSession
     types = dict(docs.dtypes)
-    out = docs.select(*carry, text_col)
+    named = [free_name([*carry, text_col], n) for n in FOUND]
+    out = docs.select(*[F.col(f"`{c}`") for c in (*carry, text_col)])
     first, passes = True, automata(benchmark, item_col, item_text, window)
     automaton = next(passes)
     while automaton is not None:
@@ -178,10 +183,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
                     begins.append([a for a, _ in spans])
                     ends.append([e for _, e in spans])
                     items.append(sorted(found.union(ids)))
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n_out)), pa.array(counts, pa.int64()), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*b.schema.names[:n_out], "n_words", "begins", "ends", "items"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(n_out)), pa.array(counts, pa.int64()), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*b.schema.names[:n_out], *named])
 
         schema = ", ".join(f"`{c}` {types[c]}" for c in [*carry, text_col][:n_out])
-        out = out.mapInArrow(run, f"{schema}, {FOUND}")
+        found = ", ".join(f"`{n}` {kind}" for n, kind in zip(named, FOUND.values(), strict=True))
+        out = out.mapInArrow(run, f"{schema}, {found}")
         first = False
     return out
 

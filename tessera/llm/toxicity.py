@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_name
 from tessera.llm.ftrl import Ftrl
 
 SAMPLE, CLEAN, TELLING, EPOCHS, REJECT, RARE = 2000, 3, 5, 6, 0.2, 3
@@ -150,7 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def score(docs: DataFrame, model: Ordinal, *, carry: list[str], text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """``carry`` columns with severity, grade and toxic of every row."""
+    """``carry`` columns with severity, grade and toxic of every row (underscored where ``carry`` has such a name)."""
+    named = [free_name(carry, n) for n in ("severity", "grade", "toxic")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most the distinct features of a bounded sample
     types = dict(docs.dtypes)
 
@@ -158,8 +160,8 @@ def score(docs: DataFrame, model: Ordinal, *, carry: list[str], text_col: str =
         m = shared.value
         for b in batches:
             got = [m.judge(words(t)) for t in b.column(len(carry)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(carry))), pa.array([s for s, _ in got], pa.float64()), pa.array([g for _, g in got], pa.int32()), pa.array([s >= reject for s, _ in got], pa.bool_())], names=[*carry, "severity", "grade", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(carry))), pa.array([s for s, _ in got], pa.float64()), pa.array([g for _, g in got], pa.int32()), pa.array([s >= reject for s, _ in got], pa.bool_())], names=[*carry, *named])
 
     schema = "".join(f"`{c}` {types[c]}, " for c in carry)
-    source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias("_text"))
-    return source.mapInArrow(run, f"{schema}severity double, grade int, toxic boolean")
+    source = docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").alias(free_name(carry, "_text")))
+    return source.mapInArrow(run, f"{schema}`{named[0]}` double, `{named[1]}` int, `{named[2]}` boolean")
