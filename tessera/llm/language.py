@@ -104,8 +104,13 @@ def identify(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col
     each = max(20, sample // max(1, len(langs)))
     df, n = frequencies(known.select(text_col))
     idf = np.log((1 + n) / (1 + df)) + 1
-    by_hash = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    chosen = known.select(id_col, lang_col, text_col).withColumn("_rank", F.row_number().over(by_hash)).where(F.col("_rank") <= each)
+    # The rows of least hash of each language, first in each of 64 parts of it; texts are fetched for these alone.
+    h = F.xxhash64(id_col)
+    ids = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), h.alias("_h"), F.pmod(h, F.lit(64)).alias("_part")).where("_id is not null")
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id"))
+    ids = ids.withColumn("_k", first("_lang", "_part")).where(F.col("_k") <= each).withColumn("_rank", first("_lang")).where(F.col("_rank") <= each)
+    chosen = known.select(id_col, lang_col, text_col).join(F.broadcast(ids.select("_id", "_lang", "_rank")), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
+    chosen = chosen.select(id_col, lang_col, text_col, "_rank")  # at most `sample` rows, but for repeated ids
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
