@@ -8,7 +8,7 @@
 3. The bytes asked for meet again by gram and are put in order by external induced sorting (``induced_sort``), whose
    common-prefix values tell which 50-byte strings are equal; each is removed in all documents but the earliest.
 
-Occurrences of one kind are told apart by two 64-bit hashes. No step holds more than a shard: their number grows with the
+Kinds are told apart by 48 bits of the gram's hash and 48 of the context's. No step holds more than a shard: their number grows with the
 bytes of the input, and the sort's queues spill to disk beyond a bound.
 
 Texts are UTF-8 bytes; null is empty. Texts shorter than 50 bytes lose nothing. Matches never cross documents, nor do they
@@ -40,7 +40,7 @@ SPANS = "kind int, doc long, tag int, a long, e long, fp long"
 
 def _tag(raw: bytes) -> int:
     """Tells texts of equal ids apart."""
-    return zlib.crc32(raw) & 0xFFFF
+    return zlib.crc32(raw) & 0xFFF
 
 
 def _merged(doc: np.ndarray, tag: np.ndarray, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -85,8 +85,8 @@ def _fingerprint_pass(shards: int, window: int, gram: int):
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 fp, context, first, last = owned_windows(raw, window, gram)
                 if len(fp):
-                    # A quarter of a gram's hash is dropped: with the context's 64 bits there are 112 to tell kinds apart.
-                    parts.append((fp >> np.uint64(16), context, np.full(len(fp), doc), first, (last - first) | (_tag(raw) << 16)))
+                    # A quarter of each hash is dropped, which packs smaller: 96 bits are left to tell kinds apart.
+                    parts.append((fp >> np.uint64(16), context >> np.uint64(16), np.full(len(fp), doc), first, (last - first) | (_tag(raw) << 16)))
             if not parts:
                 continue
             fp, context, doc, first, more = (np.concatenate(x).astype(np.int64) if i != 1 else np.concatenate(x).view(np.int64) for i, x in enumerate(zip(*parts, strict=True)))
@@ -217,7 +217,7 @@ def _sort_pass(window: int, shard_bytes: int):
 def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tag, text) of every row; two joins read it, with one exchange if the plans agree."""
     text = F.col(f"`{text_col}`")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"), text.alias("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFF)).cast("int").alias("tag"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
