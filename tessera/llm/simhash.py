@@ -34,24 +34,33 @@ SHINGLE, MAX_BITS, SEED, TILE = 3, 3, 42, 4096
 _FORGET = 200_000
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The unsigned fingerprint of UTF-8 bytes."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 value of every word shingle of UTF-8 bytes; a text of fewer words is one shingle."""
     words = text.lower().split() if text else []  # bytes: only A-Z change, only ASCII white space splits
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], "<u8")
     starts = [0, *ends]
-    hashes = np.array([digest(joined[a : e - 1], SEED) for a, e in zip(starts, ends[shingle - 1 :], strict=False)], dtype="<u8")
+    return np.array([digest(joined[a : e - 1], SEED) for a, e in zip(starts, ends[shingle - 1 :], strict=False)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit's majority as an unsigned number; zero of no hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[i : i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The unsigned fingerprint of UTF-8 bytes."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """(id_col, fp) of each row; fp is the fingerprint as a signed long."""
 
@@ -159,6 +168,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFra
     """(u, v): edges whose components are those of all pairs of distinct ``fp`` within ``max_bits`` (3 at most)."""
     if not 0 <= max_bits <= 3:
         raise ValueError("the anchors cover distances up to 3")
+    return met(replicas(fps), max_bits, tile)
+
+
+def met(rows: DataFrame, max_bits: int, tile: int = TILE) -> DataFrame:
+    """(u, v): edges whose components are those of all pairs within ``max_bits`` that share an anchor in ``rows`` (anchor, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
@@ -203,7 +217,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFra
             work(*(np.concatenate(x) for x in zip(*held, strict=True)))
         yield out()
 
-    groups = tiled(replicas(fps), tile)
+    groups = tiled(rows, tile)
     return groups.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(run, "u long, v long").distinct()
 
 

@@ -77,3 +77,39 @@ def test_empty(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, out)
     assert docs.count() == 0
+
+
+def test_near_copies_by_five_words(spark, folder):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, expected = [], set()
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(120)]
+        rows.append((3 * i, " ".join(words)))
+        near, far = list(words), list(words)
+        near[i], near[119 - i // 2] = "new", "new"  # 9 of 116 shingles at most on either side: 0.8 and more
+        for k in range(10, 100, 10):
+            far[k] = "other"
+        rows += [(3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(far))]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for i in range(60):
+        assert alike(3 * i, 3 * i + 1) and not alike(3 * i, 3 * i + 2) and not alike(3 * i + 1, 3 * i + 2)
+        expected |= {3 * i, 3 * i + 2}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder[0]).collect()) == sorted(expected)
+
+
+def test_near_copies_in_tiles(spark):
+    from tessera.llm import near_copies
+
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    rows = []
+    for i in range(120):  # a chain: each text replaces two words of the previous one, so the ends share little
+        base = list(base)
+        base[(2 * i) % 100] = base[(2 * i + 1) % 100] = f"n{i}"
+        rows.append((i, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in near_copies.firsts(docs, tile=16).collect()] == [0]
+    assert [r.doc_id for r in near_copies.firsts(docs).collect()] == [0]
