@@ -113,3 +113,16 @@ def test_near_copies_in_tiles(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in near_copies.firsts(docs, tile=16).collect()] == [0]
     assert [r.doc_id for r in near_copies.firsts(docs).collect()] == [0]
+
+
+def test_rows_with_null_and_repeated_ids_stay(spark, folder):
+    rng = random.Random(8)
+    say = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    rows = [(None, say()) for _ in range(20)] + [(7, say()) for _ in range(10)] + [(i, say()) for i in range(10, 20)]
+    wanted = Counter(rows)
+    rows += rows[:3] + rows[20:23]  # repeated rows
+    rows += [(30, rows[1][1]), (7, rows[-1][1]), (5, rows[25][1])]  # a copy of a null id's text, a repeated row, a copy with a smaller id
+    wanted += Counter({(30, rows[1][1]): 1, (5, rows[25][1]): 1})
+    wanted -= Counter({rows[1]: 1, rows[25]: 1})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, folder[0]).collect())) == wanted
