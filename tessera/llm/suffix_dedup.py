@@ -8,7 +8,7 @@
 3. The bytes asked for meet again by gram and are put in order by external induced sorting (``induced_sort``), whose
    common-prefix values tell which 50-byte strings are equal; each is removed in all documents but the earliest.
 
-Kinds are told apart by 48 bits of the gram's hash and 48 of the context's. No step holds more than a shard: their number grows with the
+Kinds are told apart by 48 bits of the gram's hash and 64 of the context's, texts of one id by 64 bits of their own hash. No step holds more than a shard: their number grows with the
 bytes of the input, and the sort's queues spill to disk beyond a bound.
 
 Texts are UTF-8 bytes; null is empty. Texts shorter than 50 bytes lose nothing. Matches never cross documents, nor do they
@@ -20,11 +20,11 @@ inside a character; it is kept as bytes. Extra columns are not read. Empty table
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +35,12 @@ from tessera.llm.winnow_bytes import GRAM, WINDOW, owned_windows
 
 #: Bytes of input for each shard of step 2; bytes asked for in each shard of step 3.
 SHARD_BYTES, SORT_BYTES = 8 << 20, 2 << 20
-SPANS = "kind int, doc long, tag int, a long, e long, fp long"
+SPANS = "kind int, doc long, tag long, a long, e long, fp long"
 
 
 def _tag(raw: bytes) -> int:
-    """Tells texts of equal ids apart."""
-    return zlib.crc32(raw) & 0xFFF
+    """Tells texts of equal ids apart: the signed number that Spark's xxhash64 gives."""
+    return int(np.uint64(xxhash.xxh64_intdigest(raw, 42)).view(np.int64))
 
 
 def _merged(doc: np.ndarray, tag: np.ndarray, a: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -85,27 +85,27 @@ def _fingerprint_pass(shards: int, window: int, gram: int):
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 fp, context, first, last = owned_windows(raw, window, gram)
                 if len(fp):
-                    # A quarter of each hash is dropped, which packs smaller: 96 bits are left to tell kinds apart.
-                    parts.append((fp >> np.uint64(16), context >> np.uint64(16), np.full(len(fp), doc), first, (last - first) | (_tag(raw) << 16)))
+                    # A quarter of the gram's hash is dropped, which packs smaller; all 64 bits of the context tell kinds apart.
+                    parts.append((fp >> np.uint64(16), context, np.full(len(fp), doc), np.full(len(fp), _tag(raw)), first, last - first))
             if not parts:
                 continue
-            fp, context, doc, first, more = (np.concatenate(x).astype(np.int64) if i != 1 else np.concatenate(x).view(np.int64) for i, x in enumerate(zip(*parts, strict=True)))
+            fp, context, doc, tag, first, more = (np.concatenate(x).astype(np.int64) if i != 1 else np.concatenate(x).view(np.int64) for i, x in enumerate(zip(*parts, strict=True)))
             order = np.lexsort((doc, context, fp))
-            fp, context, doc, first, more = (x[order] for x in (fp, context, doc, first, more))
+            fp, context, doc, tag, first, more = (x[order] for x in (fp, context, doc, tag, first, more))
             gone = _later(_starts(fp, context), doc)
             buckets, blobs = [], []
             if gone.any():
-                spans = _merged(doc[gone], more[gone] >> 16, first[gone], first[gone] + (more[gone] & 0xFFFF) + window)
+                spans = _merged(doc[gone], tag[gone], first[gone], first[gone] + more[gone] + window)
                 buckets.append(int(doc[gone][0]) % shards)
                 blobs.append(b"g" + _pack(list(spans)))
-            fp, context, doc, first, more = (x[~gone] for x in (fp, context, doc, first, more))
+            fp, context, doc, tag, first, more = (x[~gone] for x in (fp, context, doc, tag, first, more))
             at = fp % shards
             order = np.argsort(at, kind="stable")  # hashes stay ascending within a shard
             cuts = np.searchsorted(at[order], np.arange(shards + 1))
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 mine = order[cuts[k] : cuts[k + 1]]
                 buckets.append(k)
-                blobs.append(b"f" + _pack([np.diff(fp[mine], prepend=0), context[mine], doc[mine], first[mine], more[mine]]))
+                blobs.append(b"f" + _pack([np.diff(fp[mine], prepend=0), context[mine], doc[mine], tag[mine], first[mine], more[mine]]))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
     return run
@@ -113,18 +113,18 @@ def _fingerprint_pass(shards: int, window: int, gram: int):
 
 def _rows(kind: int, doc, tag, a, e, fp) -> pa.RecordBatch:
     n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(doc), pa.array(tag.astype(np.int32)), pa.array(a), pa.array(e), pa.array(fp)], names=["kind", "doc", "tag", "a", "e", "fp"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(doc), pa.array(tag), pa.array(a), pa.array(e), pa.array(fp)], names=["kind", "doc", "tag", "a", "e", "fp"])
 
 
 def _match_pass(window: int):
     """Of each shard: spans to remove (kind 0) and spans whose bytes are asked for (kind 1)."""
 
     def settle(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        columns = [_unpack(x, 5) for x in blobs]
-        fp, context, doc, first, more = (np.concatenate(x) for x in zip(*((np.cumsum(c[0]), *c[1:]) for c in columns), strict=True))
+        columns = [_unpack(x, 6) for x in blobs]
+        fp, context, doc, tag, first, more = (np.concatenate(x) for x in zip(*((np.cumsum(c[0]), *c[1:]) for c in columns), strict=True))
         order = np.lexsort((doc, context, fp))
-        fp, context, doc, first, more = (x[order] for x in (fp, context, doc, first, more))
-        tag, end = more >> 16, first + (more & 0xFFFF) + window
+        fp, context, doc, tag, first, more = (x[order] for x in (fp, context, doc, tag, first, more))
+        end = first + more + window
         classes, grams = _starts(fp, context), _starts(fp)
         gone = _later(classes, doc)
         spans = _merged(doc[gone], tag[gone], first[gone], end[gone])
@@ -165,7 +165,7 @@ def _cut_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fps.append(s["fp"])
                 starts.append(s["a"])
                 parts.append(raw[s["a"] : s["e"]])
-        yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(docs, pa.int64()), pa.array(tags, pa.int32()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=["fp", "doc", "tag", "a", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=["fp", "doc", "tag", "a", "part"])
 
 
 def _sort_pass(window: int, shard_bytes: int):
@@ -217,7 +217,7 @@ def _sort_pass(window: int, shard_bytes: int):
 def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tag, text) of every row; two joins read it, with one exchange if the plans agree."""
     text = F.col(f"`{text_col}`")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.crc32(text.cast("binary")).bitwiseAND(F.lit(0xFFF)).cast("int").alias("tag"), text.alias("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -229,7 +229,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     found = checkpointed(packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(_match_pass(window), SPANS))
     asked = found.where("kind = 1").groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "e", "fp")).alias("spans"))
     # An outer join, as in without_repeats: texts are then dealt once for both joins.
-    parts = _dealt(docs, id_col, text_col).join(asked, ["doc", "tag"], "left").select("doc", "tag", "text", "spans").mapInArrow(_cut_pass, "fp long, doc long, tag int, a long, part binary")
+    parts = _dealt(docs, id_col, text_col).join(asked, ["doc", "tag"], "left").select("doc", "tag", "text", "spans").mapInArrow(_cut_pass, "fp long, doc long, tag long, a long, part binary")
     settled = parts.repartition("fp").sortWithinPartitions("fp").mapInArrow(_sort_pass(window, SORT_BYTES), SPANS)
     spans = found.where("kind = 0").unionByName(settled)
     return spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("a", "e")).alias("spans"))

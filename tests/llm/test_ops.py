@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -291,6 +292,16 @@ def test_suffix_dedup(docs, none):
     assert sum(k[2] for k in want) > 1000 and suffix_dedup.without_repeats(none).count() == 0
 
 
+def test_suffix_dedup_of_many_texts_under_one_id(spark):
+    passage, plain = "This passage of more than fifty bytes begins in the first document. ", "Nothing in here is found anywhere else in the corpus at all, {} times."
+    tag = lambda t: zlib.crc32(t.encode()) & 0xFFF
+    hit = passage + "an ending"
+    clean = next(t for t in (plain.format(i) for i in range(100_000)) if tag(t) == tag(hit))
+    docs = spark.createDataFrame([(1, passage), (5, hit), (5, clean)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.without_repeats(docs).collect()}
+    assert got == {(1, len(passage)): 0, (5, len(hit)): len(passage), (5, len(clean)): 0}
+
+
 def test_url_filter(spark):
     urls = ["http://a.com/en/x", "https://example.com/en/70", "http://www.example.com/en/8", "http://notcom/en/", "x", None, "http://A.NET/de/?q", "http://b.example.net/de/8z#f", "HTTP://q.org/es/", "http://m.ads-track.example.com/q", "http://org", "a://b://c.com/en/"]
     rules = [url_filter.host_rule(*r) for r in (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))]
