@@ -55,9 +55,10 @@ FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 
 OP7 = r"""
 WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
-n AS (SELECT doc_id, text, list(x ORDER BY i) AS xs, list(i ORDER BY i) AS ix FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id, text),
-w AS (SELECT doc_id, text, ix[s] AS start, [ix[s], ix[s + 1], ix[s + 2]] AS lines, xs[s : s + 2] AS body
-      FROM (SELECT *, unnest(range(1, len(xs) - 1)) AS s FROM n WHERE len(xs) >= 3)),
+n AS (SELECT doc_id, text, list(x ORDER BY i) AS xs, list(i ORDER BY i) AS ix, list(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) ORDER BY i) AS ws
+      FROM l WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id, text),
+w AS (SELECT doc_id, text, ix[s] AS start, ix[s : s + r - 1] AS lines, xs[s : s + r - 1] AS body
+      FROM (SELECT *, unnest(range(1, len(xs) - r + 2)) AS s FROM n, range(1, 4) lengths(r) WHERE len(xs) >= r) WHERE r = 3 OR list_sum(ws[s : s + r - 1]) > 50),
 f AS (SELECT body, min((doc_id, start)) AS first FROM w GROUP BY body),
 g AS (SELECT DISTINCT doc_id, text, unnest(lines) AS i FROM w JOIN f USING (body) WHERE (doc_id, start) > first),
 k AS (SELECT l.doc_id, l.text, string_agg(l.x, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS kept, count(g.i) AS n_removed

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import components, decontamination, induced_sort, language, line_dedup, mixing, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from tessera.llm.common import split_join
 from tessera.llm.ftrl import Ftrl
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -238,15 +239,20 @@ def test_line_dedup(docs, none):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     order = sorted({(i is not None, i or 0, t): None for i, t in rows if t is not None}, key=lambda x: x[:2])
     seen, kept = {}, {}
+
+    def windows(t):
+        full = [(k, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+        for n in (1, 2, 3):
+            for s in range(len(full) - n + 1):
+                if n == 3 or sum(w for *_, w in full[s : s + n]) > 50:
+                    yield s, tuple(x for _, x, _ in full[s : s + n]), {k for k, *_ in full[s : s + n]}
+
     for place, (has, i, t) in enumerate(order):
-        full = [(k, x) for k, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
-        for s in range(len(full) - 2):
-            seen.setdefault(tuple(x for _, x in full[s : s + 3]), (place, s))
+        for s, body, _ in windows(t):
+            seen[body] = min(seen.get(body, (place, s)), (place, s))
     for place, (has, i, t) in enumerate(order):
-        lines = t.split("\n")
-        full = [(k, x) for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
-        gone = {k for s in range(len(full) - 2) if seen[tuple(x for _, x in full[s : s + 3])] < (place, s) for k, _ in full[s : s + 3]}
-        kept[(i if has else None, t)] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
+        gone = set().union(*(at for s, body, at in windows(t) if seen[body] < (place, s)))
+        kept[(i if has else None, t)] = ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone))
     want = Counter((i, *(kept[(i, t)] if t is not None else (None, 0))) for i, t in rows)
     got = line_dedup.without_repeats(docs.withColumn("start", F.lit(1)).withColumn("n_lines", F.lit(2)))
     assert Counter((r.doc_id, r.text, r.n_removed) for r in got.collect()) == want
@@ -255,6 +261,25 @@ def test_line_dedup(docs, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_line_dedup_of_long_texts(spark):
+    """Time and rows grow with the lines: two equal texts of 200,000 lines each, and a long line that occurs twice."""
+    lines = [f"line {i * 7919 % 100_003} of many" for i in range(200_000)]
+    long = " ".join(f"w{i}" for i in range(51))
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["own", *lines[:150_000], "", "more"])), (3, f"a\n{long}\nb"), (4, f"c\n{long}\nd"), (5, long)], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.without_repeats(docs).collect()}
+    assert got[2] == ("own\n\nmore", 150_000) and got[4] == ("c\nd", 1) and got[5] == ("", 1) and got[3][1] == 0
+
+
+def test_hot_keys_are_split(spark):
+    """A line that all documents share, split over tasks at any threshold, with the same result."""
+    docs = spark.createDataFrame([(i, f"a\nb\nc\nown {i}") for i in range(400)], "doc_id long, text string")
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
+    classes = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = split_join(rows, classes, ["k"], ["id"], hot=10)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i % 3, i, i % 3) for i in range(1000))
+    assert {r.n_removed for r in line_dedup.without_repeats(docs).collect()} == {0, 3}
+
+
 def test_induced_sort():
     rng = random.Random(3)
     for it in range(400):
