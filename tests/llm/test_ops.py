@@ -280,22 +280,41 @@ def test_hot_keys_are_split(spark):
     assert {r.n_removed for r in line_dedup.without_repeats(docs).collect()} == {0, 3}
 
 
-def test_induced_sort():
-    rng = random.Random(3)
-    for it in range(400):
-        depth = rng.choice([7, 8, 9, 13])
+@pytest.mark.parametrize("block", [4, 64, 1 << 16])
+def test_induced_sort(monkeypatch, block):
+    """The order, the common prefixes and the repeats, from memory for two entries (recursion, disk) to plenty."""
+    monkeypatch.setattr(induced_sort, "BLOCK", block)
+    rng = random.Random(block)
+    for it in range(150):
+        depth, memory = rng.choice([7, 8, 9, 13]), rng.choice([2, 5, 30, 1000])
         parts = [bytes(rng.choice(b"ab" if it % 2 else b"abc\xff") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 6))]
-        parts.append(parts[0][3:])
-        text = np.array([x for p in parts for x in [*(c + 1 for c in p), 0]], np.int64)
-        want, at = defaultdict(set), 0
+        parts += [parts[0][3:], b"a" * rng.randint(0, 30)]
+        text = np.array([x for p in parts for x in [*(c + 1 for c in p), 0]], np.uint16)
+        want, suffix, at = defaultdict(set), {}, 0
         for p in parts:
-            for i in range(len(p) - depth + 1):
-                want[p[i : i + depth]].add(at + i)
+            for i in range(len(p)):
+                suffix[at + i] = p[i : i + depth]
+                if i + depth <= len(p):
+                    want[p[i : i + depth]].add(at + i)
             at += len(p) + 1
-        got = [frozenset(g.tolist()) for places, begins in induced_sort.repeats(text, depth, memory=rng.choice([5, 1000])) for g in np.split(places, begins[1:])]
+        order = [(int(p), int(k)) for places, shared in induced_sort.sorted_suffixes(text, depth, memory) for p, k in zip(places, shared, strict=True)]
+        assert sorted(p for p, _ in order) == sorted(suffix)
+        for (p, _), (q, k) in zip(order, order[1:], strict=False):
+            assert suffix[p] >= suffix[q] and k == len(os.path.commonprefix([suffix[p], suffix[q]]))
+        got = [frozenset(g.tolist()) for places, begins in induced_sort.repeats(text, depth, memory) for g in np.split(places, begins[1:])]
         assert sorted(map(sorted, got)) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_induced_sort_of_more_than_its_memory():
+    """A text of hundreds of times the memory bound gives what one within it gives, and the process doesn't grow with it."""
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 123, 60_000).astype(np.uint16)
+    text[40_000:41_000] = text[1000:2000]
+    text[-1] = 0
+    groups = lambda memory: sorted(sorted(g.tolist()) for places, begins in induced_sort.repeats(text, 50, memory) for g in np.split(places, begins[1:]))
+    assert groups(200) == groups(1 << 20) == [[i, i + 39_000] for i in range(1000, 1951)]
+
+
 def test_suffix_dedup(docs, none):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     seen, want = {}, Counter()
@@ -377,8 +396,14 @@ def test_ordinal_grades():
 
 def test_no_temporary_files_left(tmp_path, monkeypatch):
     monkeypatch.setenv("TMPDIR", str(tmp_path))
+    block = lambda n: (np.arange(n), np.arange(n).astype(np.uint64), np.ones(n, np.uint8), np.ones(n, np.uint8))
     q = induced_sort.DiskQueue([3])
-    q.push(np.arange(2))
-    q.push(np.arange(9))
-    q.push(np.arange(3))
-    assert q.pop_all().tolist() == [*range(2), *range(9), *range(3)] and not q and not os.listdir(tmp_path)
+    for n in (2, 9, 1):
+        q.push(block(n))
+    assert q.spilled == 9 and q.pop_last()[0].tolist() == [0]
+    assert q.pop_first()[0].tolist() == [*range(2), *range(9)] and not q and not os.listdir(tmp_path)
+    heap, rng = induced_sort.DiskHeap(3), random.Random(2)
+    items = [(rng.randrange(9), i, i) for i in range(50)]
+    for x in items:
+        heap.push(x)
+    assert heap.runs > 5 and [heap.pop() for _ in items] == sorted(items) and heap.least() is None and not os.listdir(tmp_path)
