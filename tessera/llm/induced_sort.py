@@ -418,7 +418,7 @@ def sorted_suffixes(text: np.ndarray, depth: int, memory: int = MEMORY) -> Itera
     if not len(text):
         return
     stars, budget, fours = _stars(text), [memory], _fours(_padded(text, depth + 4))
-    if len(stars) <= memory:
+    if len(stars) <= 2 * memory:
         names, distinct = _names_in_memory(text, stars, depth)
     else:
         ends = [*stars[1:].tolist(), int(stars[-1])]

@@ -37,7 +37,7 @@ from tessera.llm.induced_sort import MEMORY, repeats
 from tessera.llm.winnow_bytes import GRAM, WINDOW, owned_windows
 
 #: Bytes of input for each shard of step 2; bytes asked for in each shard of step 3.
-SHARD_BYTES, SORT_BYTES = 8 << 20, 4 << 20
+SHARD_BYTES, SORT_BYTES = 8 << 20, 3 << 20
 SPANS = "kind int, doc long, tag long, a long, e long, fp long"
 
 
