@@ -62,12 +62,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def split_join(rows: DataFrame, classes: DataFrame, keys: list[str], tell: list[str], how: str = "inner", hot: int = HOT) -> DataFrame:
+def split_join(rows: DataFrame, classes: DataFrame, keys: list[str], tell: list[str], how: str = "inner", hot: int = HOT, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``classes`` (one row a key; ``n``: rows of that key) on ``keys`` without null. A key of many rows is
     split by a hash of the columns ``tell`` and its class repeated for each part, so no task gets a hot key whole.
 
-    The list of hot keys is broadcast: with a threshold of at least n / LISTED it has fewer than LISTED rows."""
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    The list of hot keys is broadcast: with a threshold of at least total / LISTED it has fewer than LISTED rows. ``total``:
+    the sum of ``n``, or a greater number, where it is known."""
+    total = (classes.agg(F.sum("n")).first()[0] or 0) if total is None else total
     limit = max(hot, total // LISTED)
     hottest = classes.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_k"))
     k = F.coalesce("_k", F.lit(1))

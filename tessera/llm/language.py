@@ -6,7 +6,9 @@ from. The weights come from FTRL with elastic-net penalties on a sample of at mo
 evenly to the languages by a hash of the id; a fifth of the sample is set aside to fit the temperature of the softmax.
 
 Null texts, and texts without a letter, are ``und`` with score 0; so is every text where nothing can be learned. Null
-languages are not learned from. Whole texts are read; repeated rows are judged alike; other columns are not read.
+languages are not learned from. Whole texts are read, a piece of 2^20 characters at a time; repeated rows
+are judged alike and of a repeated id the text of least hash is learned from; of equally likely languages the first by name
+is predicted. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -110,7 +112,8 @@ def identify(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col
     first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id"))
     ids = ids.withColumn("_k", first("_lang", "_part")).where(F.col("_k") <= each).withColumn("_rank", first("_lang")).where(F.col("_rank") <= each)
     chosen = known.select(id_col, lang_col, text_col).join(F.broadcast(ids.select("_id", "_lang", "_rank")), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
-    chosen = chosen.select(id_col, lang_col, text_col, "_rank")  # at most `sample` rows, but for repeated ids
+    # Of an id of many rows the text of least hash is learned from: at most `sample` rows.
+    chosen = chosen.groupBy(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), "_rank").agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), text_col)).alias("_text")).select("_id", "_lang", "_text", "_rank")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,7 +6,7 @@ _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 OP2 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-placed AS (SELECT *, CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 15) AS BIGINT) AS ord FROM d),
+placed AS (SELECT *, CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size || ':mix'), 1, 15) AS BIGINT) AS ord FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS pos FROM d GROUP BY source),
 w AS (SELECT *, ([3, 1, 2])[(pos % 3) + 1]::BIGINT AS w FROM s),
 r AS (SELECT *, source_size::DOUBLE * 2 / w AS ratio FROM w),
@@ -18,11 +18,11 @@ m AS (SELECT *, CAST(round(target * 1000000) AS BIGINT) AS micro FROM t),
 g AS (SELECT *, CAST(sum(micro) OVER (ORDER BY pos) AS BIGINT) AS hi FROM m),
 k AS (SELECT greatest(16, least(1024, sum(source_size)::BIGINT // 65536)) AS block, sum(micro)::BIGINT AS total FROM g),
 n AS (SELECT block, total, CAST(round(total::DOUBLE / 1000000 / block) AS BIGINT) AS slots FROM k),
-u AS (SELECT i AS id, total, ((i + 1)::DOUBLE * 0.6180339887498949) AS x FROM n, range(slots) q(i)),
-p AS (SELECT id, CAST(floor((x - floor(x)) * total::DOUBLE) AS BIGINT) AS at FROM u),
+u AS (SELECT i AS id, total, CAST(((i + 1)::HUGEINT * 2850178704830799621) % 4611686018427387904 AS BIGINT)::DOUBLE AS x FROM n, range(slots) q(i)),
+p AS (SELECT id, CAST(floor(x / 4611686018427387904::DOUBLE * total::DOUBLE) AS BIGINT) AS at FROM u),
 c AS (SELECT g.pos, count(*) AS blocks FROM p JOIN g ON p.at >= g.hi - g.micro AND p.at < g.hi GROUP BY g.pos),
 l AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.pos,
-        CAST(sum(d.size) OVER (PARTITION BY g.pos ORDER BY d.ord % 1024, d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
+        CAST(sum(d.size) OVER (PARTITION BY g.pos ORDER BY d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
       FROM placed d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
   CAST(greatest(0, least(start + size, coalesce(blocks, 0) * block) - start)
@@ -73,6 +73,6 @@ WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://(
 rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 best AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS verdict
   FROM u, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)ads-track\.') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])(ad|adnxs|ads|adserver|adservice|adsystem|adtech|advert|adverts|affiliate|banner|banners|beacon|clickserve|clicktrack|doubleclick|googlesyndication|outbrain|pixel|popads|popunder|scorecardresearch|taboola|telemetry|tracker|trackers|tracking)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN best USING (page_id)
 """

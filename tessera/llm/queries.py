@@ -10,8 +10,10 @@ from tessera.llm.common import table, word_count
 
 #: Fixed rules of the URL query: (host, path, verdict).
 URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Hosts that serve advertisements or trackers; these decide where no rule of the above fits.
-URL_PATTERNS = (url_filter.Rule(None, r"\A(?:[^/]*\.)?ads-track\.", ("ads", "track"), "block", 0),)
+#: Parts of host names (between dots or hyphens) that usual lists of advertisers and trackers hold; they decide where no rule
+#: of the above fits. Fixed values.
+URL_WORDS = ("ad", "adnxs", "ads", "adserver", "adservice", "adsystem", "adtech", "advert", "adverts", "affiliate", "banner", "banners", "beacon", "clickserve", "clicktrack", "doubleclick", "googlesyndication", "outbrain", "pixel", "popads", "popunder", "scorecardresearch", "taboola", "telemetry", "tracker", "trackers", "tracking")
+URL_PATTERNS = tuple(url_filter.Rule(None, rf"\A(?:[^/]*[.-])?{w}[.-]", (w,), "block", 0) for w in URL_WORDS)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +28,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    found = language.identify(docs, ~held_out)
+    # A null id has no remainder: such rows are held out of learning neither way, and not learned from.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    found = language.identify(docs, ~held_out & F.col("doc_id").isNotNull())
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 

@@ -1,28 +1,30 @@
 """Sharding by a hypergeometric communication matrix: a uniform shuffle with exact shard sizes.
 
-Rows fall into virtual partitions by a hash. The matrix says how many rows each partition sends to each shard; its rows
+Rows fall into virtual partitions by a hash of the key and the tie columns, one for each ``TASK_ROWS`` rows. The matrix says how many rows each partition sends to each shard; its rows
 sum to the partitions' counts, its columns to the shard sizes, and it is drawn from the multivariate hypergeometric law,
 so that dealing it out after a local permutation equals cutting one global permutation. Within a shard rows are permuted
 again, by sub-buckets, so no task ever orders a whole shard.
 
 Law: ``rows`` (shard sizes at most one apart). Texts that are equal are dealt like any others. Null keys and null texts
-are rows like others; an empty table gives an empty result. Rows that agree in every ordering column (repeated rows) are
+are rows like others; texts of any length move once; an empty table gives an empty result. Rows that agree in every ordering column (repeated rows) are
 interchangeable. Reruns over the same rows agree, whatever the number of tasks.
 
-Everything is DataFrame code; only the partition counts (at most ``partitions`` rows) reach the driver, for the draw.
+Everything is DataFrame code; only the partition counts (a short row for each ``TASK_ROWS`` rows) reach the driver, for the draw.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import free_name
 
-PARTITIONS, BUCKETS, SEED = 512, 512, "deal"
+#: Rows that a task orders, on average; at least PARTITIONS virtual partitions and sub-buckets of a shard.
+TASK_ROWS, PARTITIONS, SEED = 1 << 18, 512, "deal"
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -70,32 +72,52 @@ def communication_matrix(counts: list[int], shards: int, seed: str) -> list[list
     return matrix
 
 
-def deal(rows: DataFrame, key: Column, *, shards: int = 8, ties: list[Column] | None = None, seed: str = SEED, partitions: int = PARTITIONS, buckets: int = BUCKETS) -> DataFrame:
+def _stride(n: int) -> int:
+    """A number near the golden section of n without a common factor."""
+    step = max(1, round(n * 0.6180339887498949))
+    while math.gcd(step, n) > 1:
+        step += 1
+    return step
+
+
+def deal(rows: DataFrame, key: Column, *, shards: int = 8, ties: list[Column] | None = None, seed: str = SEED, partitions: int = PARTITIONS) -> DataFrame:
     """``rows`` with int ``shard`` and long ``slot`` (gapless from 0 in each shard); such columns of the input are replaced.
     ``ties``: orders rows whose keys are equal."""
     rows = rows.drop("shard", "slot")
     names = rows.columns
-    at, part, order, bucket, local = (free_name(names, x) for x in ("_at", "_part", "_order", "_bucket", "_local"))
-    # One hash chooses the partition and the local order; an independent one the place in the shard.
-    placed = rows.withColumns({at: F.xxhash64(F.lit(f"{seed}/1"), key), order: F.xxhash64(F.lit(f"{seed}/2"), key)}).withColumn(part, F.pmod(F.col(at), F.lit(partitions)))
-    counts = dict(placed.groupBy(part).count().collect())  # at most `partitions` rows
-    matrix = communication_matrix([counts.get(p, 0) for p in range(partitions)], shards, seed)
-    ends = [(p, [sum(m[: s + 1]) for s in range(shards)]) for p, m in enumerate(matrix)]
-    ends_df = rows.sparkSession.createDataFrame(ends, f"`{part}` long, _ends array<long>")
+    at, part, order, bucket, local, ends, start = (free_name(names, x) for x in ("_at", "_part", "_order", "_bucket", "_local", "_ends", "_start"))
     tie = [c.asc_nulls_first() for c in ties or []]
+    # A hash of the key and the ties chooses the partition and the local order: rows of one key are dealt apart.
+    placed = rows.withColumn(at, F.xxhash64(F.lit(f"{seed}/1"), key, *(ties or [])))
+    fine = dict(placed.groupBy(F.pmod(F.col(at), F.lit(partitions)).alias(part)).count().collect())  # at most `partitions` rows
+    total = sum(fine.values())
+    wanted = -(-total // TASK_ROWS)
+    if wanted > partitions:  # as many partitions as tasks are needed: a short row for each
+        partitions = wanted
+        fine = dict(placed.groupBy(F.pmod(F.col(at), F.lit(partitions)).alias(part)).count().collect())
+    buckets = max(PARTITIONS, wanted // shards)
+    counts = [fine.get(p, 0) for p in range(partitions)]
+    matrix = communication_matrix(counts, shards, seed)
+    listed = [(p, list(accumulate(m)), n, _stride(n)) for p, (m, n) in enumerate(zip(matrix, counts, strict=True))]
+    ends_df = rows.sparkSession.createDataFrame(listed, f"`{part}` long, `{ends}` array<long>, _n long, _stride long")
+    number = F.row_number().over(Window.partitionBy(part).orderBy(at, key, *tie)) - 1
     dealt = (
-        placed.withColumn(local, F.row_number().over(Window.partitionBy(part).orderBy(at, order, *tie)))
-        .join(F.broadcast(ends_df), part)  # `partitions` short rows
-        .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col(local))).cast("int"))
-        .drop("_ends", part)
+        placed.withColumn(part, F.pmod(F.col(at), F.lit(partitions)))
+        .withColumn(local, number)
+        .join(F.broadcast(ends_df), part)  # `partitions` short rows: one for each TASK_ROWS rows of the input
+        # A local permutation by a stride, so that repeated rows part; then the matrix says who goes to which shard.
+        .withColumn(order, F.pmod(F.col(local) * F.col("_stride"), F.col("_n")))
+        .withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col(order))).cast("int"))
+        .withColumn(order, F.xxhash64(F.lit(f"{seed}/2"), at, local))
+        .drop(ends, part, "_n", "_stride")
+        .withColumn(bucket, F.pmod(F.col(order), F.lit(buckets)).cast("int"))
     )
-    dealt = dealt.withColumn(bucket, F.pmod(F.col(order), F.lit(buckets)).cast("int"))
     # Where each sub-bucket begins in its shard: counted anew from the same plan, in at most shards x buckets groups.
-    sizes = dealt.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select("shard", bucket, (F.sum("_n").over(Window.partitionBy("shard").orderBy(bucket)) - F.col("_n")).alias("_start"))
+    sizes = dealt.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(part))
+    starts = sizes.select("shard", bucket, (F.sum(part).over(Window.partitionBy("shard").orderBy(bucket)) - F.col(part)).alias(start))
     return (
-        dealt.withColumn(local, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(order, at, *tie)))
+        dealt.withColumn(local, F.row_number().over(Window.partitionBy("shard", bucket).orderBy(order, at, key, *tie)))
         .join(F.broadcast(starts), ["shard", bucket])  # shards x buckets short rows
-        .withColumn("slot", F.col("_start") + F.col(local) - 1)
+        .withColumn("slot", F.col(start) + F.col(local) - 1)
         .select(*[F.col(f"`{c}`") for c in names], "shard", "slot")
     )

@@ -8,12 +8,12 @@ an anchor. A fingerprint is replicated to every anchor within radius + 1 of eith
 a link always meet at some anchor. Fingerprints are compared anchor by anchor and a spanning forest of the links found
 there goes on to connected components: connectivity is whole though pairs are never listed.
 
-Equal fingerprints are merged before anything else. An anchor with more than ``TILE`` fingerprints is split into tiles and
+Whole texts are read, however long; ``prints`` holds no text. Equal fingerprints are merged before anything else. An anchor with more than ``TILE`` fingerprints is split into tiles and
 each pair of tiles is a group of its own, so no task gathers a hot anchor.
 
 Null and empty texts and texts without words have fingerprint zero and link like any others. Rows with null ids belong
 to their fingerprint's component, which is null only if all its ids are. Repeated rows give repeated rows. Empty tables
-give empty results; other columns are not read.
+give empty results; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import checkpointed, split_join
 from tessera.llm.components import components
 
 SHINGLE, MAX_BITS, SEED, TILE = 3, 3, 42, 4096
@@ -224,10 +224,11 @@ def met(rows: DataFrame, max_bits: int, tile: int = TILE) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """id_col, fingerprint (16 hex digits) and component_id (least id reachable) of every row."""
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n"))
     roots = components(links(classes.select("fp"), max_bits))
-    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     labels = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = checkpointed(placed.join(labels, "root").select("fp", "component_id"))
-    # A fingerprint that a third of all rows share is a skewed join key, which adaptive execution splits.
-    return prints.join(label, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = checkpointed(placed.join(labels, "root").select("fp", "component_id", "n"))
+    # A fingerprint that a third of all rows share is split by row.
+    numbered = prints.withColumn("row", F.monotonically_increasing_id())
+    return split_join(numbered, label, ["fp"], ["row"]).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,6 +1,7 @@
 """Exact top-k inner products by distributed histogram selection.
 
-Vectors become integers, floor(scale * x) of each component. Queries are taken in groups of bounded bytes; a group is
+Vectors become integers, floor(scale * x) of each component. Queries are taken in groups whose vectors and whose
+histograms have bounded bytes (``query_bytes``); a group is
 broadcast, scored against every vector in blocks, and the score range is refined by global histograms: each round
 counts, for each query, the scores that fall in each of ``BINS`` cells of its current interval and narrows the interval
 to the cell that holds the kth highest, until a cell is one score wide. That score is the kth value. A last pass keeps
@@ -12,11 +13,13 @@ few rows, and of ties it sends at most the k smallest ids: copies of one vector
 Null vectors, and vectors with null or non-finite components, take no part, as query or as candidate; neither do rows
 with null ids. Vectors of different lengths are compared on the shorter one's components. Repeated rows are candidates of
 their own (a query excludes every row of its own id). Fewer candidates than k: all are returned. Scores are 64-bit
-integers; where float arithmetic could round, integers are used.
+integers; where float arithmetic could round, integers are used. Vectors of any length are read whole; extra columns are
+not read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import shared_folder
+
 BINS, QUERY_BYTES, BLOCK = 512, 8 << 20, 4096
 
 
@@ -116,10 +121,11 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256,
     asked = usable(vectors.where(is_query), id_col, vector_col, scale)
     shape = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
     bound = candidates.agg(F.max(F.aggregate("v", F.lit(0.0), lambda t, e: t + e.cast("double") * e.cast("double"))).alias("x")).first()["x"]
-    out = spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    groups = -(-(shape["n"] or 0) * 8 * max(1, shape["width"] or 1) // query_bytes)
+    written = False
+    groups = -(-(shape["n"] or 0) * 8 * max(BINS, shape["width"] or 1) // query_bytes)
+    folder = f"{shared_folder(spark)}/topk-{uuid.uuid4().hex}"
     for g in range(groups):
-        # A group's size is bounded by query_bytes on average; its rows come by a hash of the id.
+        # Of a group neither the vectors nor the histograms exceed query_bytes on average; its rows come by a hash of the id.
         rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).distinct().toPandas()
         if rows.empty:
             continue
@@ -152,5 +158,12 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: int = 256,
             state.unpersist()
         state = spark.sparkContext.broadcast((ids, q, low))
         found = candidates.mapInArrow(_final_pass(state, k), "query_id long, id long, score long")
-        out = out.unionByName(found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= k).select("query_id", "rank", "id", "score"))
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+        found = found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+        if groups == 1:
+            return found.withColumnRenamed("id", id_col)
+        # Each group is written, so that the plan of the result is one scan, however many there are.
+        found.write.mode("append").parquet(folder)
+        written = True
+    out = spark.read.parquet(folder) if written else spark.createDataFrame([], "query_id long, rank int, id long, score long")
     return out.withColumnRenamed("id", id_col)

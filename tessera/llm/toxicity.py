@@ -1,6 +1,6 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
-Features: the distinct words of the lower-cased text and their beginnings of 4, 5 and 6 bytes. One weight vector serves
+Features: the distinct words of the lower-cased text and their beginnings of 5 to 8 bytes. One weight vector serves
 every threshold: P(grade <= j) = logistic(threshold_j - w . x). Weights come from FTRL with elastic-net penalties, so
 most are zero and a text without any weighted feature is left alone. Severity is the expected grade; a text whose
 severity is at least ``REJECT`` is toxic.
@@ -10,8 +10,9 @@ least ``TELLING`` flagged and no clean examples): 0 clean, 1 mild, 2 severe.
 
 The model is fitted on at most ``SAMPLE`` flagged and ``SAMPLE`` x ``CLEAN`` other labelled texts, chosen by a hash of the
 id; every whole text is scored. Null and empty texts have no features. Labels of one id are merged (the highest counts);
-null ids and null labels are not learned from. Without examples of two grades every severity is 0. Repeated rows are
-judged alike; other columns are not read.
+null ids and null labels are not learned from; of an id with several texts the one
+of least hash is.  Without examples of two grades every severity is 0. Repeated rows are
+judged alike, ties between grades go to the lower one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import free_name
 from tessera.llm.ftrl import Ftrl
 
-SAMPLE, CLEAN, TELLING, EPOCHS, REJECT, RARE = 2000, 3, 5, 6, 0.2, 3
+SAMPLE, CLEAN, TELLING, EPOCHS, REJECT, RARE = 2000, 3, 5, 10, 0.1, 3
+#: Lengths in bytes of the beginnings of words; features expected to be kept by chance if none told anything.
+BEGINNINGS, BY_CHANCE = (5, 6, 7, 8), 3
 #: ASCII that is neither letter nor digit becomes a space.
 _SPACED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
@@ -38,7 +41,7 @@ def words(text: str | None) -> set[bytes]:
 
 def features(distinct: set[bytes]) -> set[bytes]:
     """Words end with a space, which no beginning of one does."""
-    return {w + b" " for w in distinct} | {w[:4] for w in distinct if len(w) >= 4} | {w[:5] for w in distinct if len(w) >= 5} | {w[:6] for w in distinct if len(w) >= 6}
+    return {w + b" " for w in distinct} | {w[:n] for w in distinct for n in BEGINNINGS if len(w) >= n}
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
@@ -57,8 +60,8 @@ class Tally:
             if y:
                 self.hit[at] += 1
         share = min(max(sum(flagged) / max(1, len(flagged)), 1e-6), 1 - 1e-6)
-        #: By Chernoff's bound less than a tenth of a feature would be kept if none told anything.
-        needed = np.log(10 * max(1, int((self.all >= RARE).sum())))
+        #: By Chernoff's bound at most BY_CHANCE features would be kept if none told anything.
+        needed = np.log(max(1, int((self.all >= RARE).sum())) / BY_CHANCE)
         self.kept = np.zeros(len(self.all), bool)
         for i in range(0, len(self.all), 1 << 17):  # a block at a time, for the driver's memory
             n, k = self.all[i : i + (1 << 17)].astype(float), self.hit[i : i + (1 << 17)].astype(float)
@@ -137,6 +140,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     pick = lambda rows, n: rows.orderBy(F.xxhash64(id_col), id_col).limit(n)
     chosen = pick(merged.where("_y > 0"), sample).unionByName(pick(merged.where("_y <= 0"), sample * CLEAN))
     found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # a bounded sample of ids
+    # Of an id of many rows the text of least hash is learned from.
+    found = found.groupBy(id_col, "_y").agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), text_col)).alias(text_col))
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,7 +4,8 @@ Every rule is a regular expression over ``host + path``. Of its literal tokens (
 matching URL must contain) the one that the fewest URLs hold is its index key. A URL's own tokens fetch candidate
 rules and only those run their expressions, so the cost of a URL does not grow with the number of rules.
 
-Rows: one per input row. A null URL, or one without ``://``, has an empty host and path and no rule. Repeated rows are
+Rules beyond ``RULES_PER_PASS`` are worked off in passes; of equal ranks the first rule wins. Rows: one per input row, URLs
+of any length whole. A null URL, or one without ``://``, has an empty host and path and no rule. Repeated rows are
 judged alike. Extra columns are not read.
 """
 
@@ -46,6 +47,14 @@ def host_rule(host: str, path: str, verdict: str) -> Rule:
     return Rule(host + path, pattern, tuple(dict.fromkeys(whole + inner)), verdict, 1 + len(host + path))
 
 
+def rules_of(table: DataFrame) -> Iterator[Rule]:
+    """Rules from rows (name, pattern, tokens array, verdict, rank), in the order of rank, name and pattern, as a stream; equal
+    rows are one rule, rows without a pattern or a verdict none. Null tokens: the rule runs on every URL."""
+    rows = table.select("name", "pattern", "tokens", "verdict", F.coalesce("rank", F.lit(0)).cast("long").alias("rank")).where("pattern is not null and verdict is not null").distinct()
+    for r in rows.orderBy(F.desc("rank"), "name", "pattern", "verdict").toLocalIterator():
+        yield Rule(r["name"], r["pattern"], tuple(r["tokens"] or ()), r["verdict"], r["rank"])
+
+
 def host_of(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
 

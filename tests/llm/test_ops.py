@@ -76,6 +76,13 @@ def closure(n, linked):
     return [find(i) for i in range(n)]
 
 
+def test_components_of_a_hub(spark):
+    """A star of many leaves and a chain, with hubs split at any threshold."""
+    edges = [(5000 + i, 17) for i in range(300)] + [(i, i + 1) for i in range(100, 140)] + [(5001, 120), (9, 9)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long"), hot=20).collect()}
+    assert got == {n: 17 for n in [*range(5000, 5300), *range(100, 141)]}
+
+
 @pytest.mark.parametrize("tile", [4096, 8])
 def test_links(spark, tile):
     rng = random.Random(3)
@@ -155,6 +162,37 @@ def test_language(spark):
     assert all(r.lang_pred == "und" for r in language.identify(df.withColumn("lang", F.lit(None).cast("string")), learn).collect())
 
 
+def test_language_scores_by_hand(spark):
+    """TF-IDF, softmax and temperature computed apart with string n-grams, of languages that share an alphabet; ties, repeats."""
+    rng, stems = random.Random(8), {"aa": ["tion", "the", "ing"], "bb": ["chen", "ung", "sch"], "cc": ["ci\u00f3n", "mente", "los"]}
+    rows = [(i, " ".join("".join(rng.choice(stems[k] + ["en", "ar"]) for _ in range(3)) for _ in range(12)), k) for i, k in enumerate(["aa", "bb", "cc"] * 50)]
+    rows += [(3, rows[4][1], "aa"), (3, rows[4][1], "aa"), (None, "tion the", "aa"), (700, "ung " * 30_000, None), (701, "!!", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("clash"), "_h": F.lit(1)})
+    learn = F.col("doc_id").isNotNull() & (F.col("doc_id") % 5 != 0)
+    got = language.identify(df, learn).collect()
+    assert len(got) == len(rows)
+    known = [t for i, t, k in rows if i is not None and k is not None and i % 5]
+    grams = lambda t: Counter(t.lower()[a : a + n] for n in (1, 2, 3) for a in range(len(t) - n + 1))
+
+    def slot(gram):
+        h = len(gram) * 0x27D4EB2F & 0xFFFFFFFF
+        for c, m in zip(gram, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=False):
+            h = (h ^ ord(c)) * m & 0xFFFFFFFF
+            h ^= h >> 15
+        return (h * 0x2C1B3C6D & 0xFFFFFFFF) >> 18
+
+    for t in known[:5]:
+        c = Counter()
+        for g, n in grams(t).items():
+            c[slot(g)] += n
+        assert {int(i): int(language.counts(t)[i]) for i in np.flatnonzero(language.counts(t))} == dict(c)
+    df_counts, n = language.frequencies(df.where(learn & F.col("lang").isNotNull()).select("text"))
+    assert n == len(known) and (df_counts == sum((language.counts(t) > 0).astype(np.int64) for t in known)).all()
+    right = [r.lang_pred == k for r, (i, t, k) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0)), sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True) if i is not None and i % 5 == 0 and k]
+    assert np.mean(right) > 0.95
+    assert {(r.lang_pred, r.score) for r in got if r.doc_id == 701} == {("und", 0.0)}
+
+
 def test_ftrl_is_sparse():
     rng, m = np.random.default_rng(0), Ftrl(51, l1=2.0)
     for _ in range(400):
@@ -211,7 +249,7 @@ def test_decontamination(docs, none, spark, monkeypatch):
     assert by[0].items or by[0].text != texts[0]
     assert decontamination.scan(none, bench, carry=["doc_id"]).count() == 0
     assert all(not r.begins for r in decontamination.scan(docs, bench.limit(0), carry=["doc_id"]).collect())
-    assert decontamination.cut_text("Ab, cd! ef-gh ij.", [1, 3], [2, 4]) == "Ab, ! ef- ij."
+    assert decontamination.cut_text("Ab, cd! ef-gh ij.".encode(), [1, 3], [2, 4]) == b"Ab, ! ef- ij."
 
 
 def test_sharding(docs, none, spark):
@@ -224,6 +262,21 @@ def test_sharding(docs, none, spark):
     again = sharding.deal(docs.repartition(7), F.col("doc_id"), shards=8, ties=[F.col("text")]).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert sharding.deal(none, F.col("doc_id")).count() == 0
+    # The deal recomputed: partitions and strides, the matrix, and the order within shards.
+    for parts in (2, 7):
+        dealt = sharding.deal(docs, F.col("doc_id"), shards=3, ties=[F.col("text")], partitions=parts).collect()
+        by = defaultdict(list)
+        for at, r in zip(docs.select(F.xxhash64(F.lit("deal/1"), "doc_id", "text")).collect(), docs.collect(), strict=True):
+            by[at[0] % parts].append((at[0], r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
+        matrix = sharding.communication_matrix([len(by[p]) for p in range(parts)], 3, "deal")
+        sent = defaultdict(Counter)
+        for p in range(parts):
+            n = len(by[p])
+            for local, (_, has, i, _, t) in enumerate(sorted(by[p])):
+                x = local * sharding._stride(n) % n
+                sent[next(s for s in range(3) if x < sum(matrix[p][: s + 1]))][(i if has else None, t)] += 1
+        for s in range(3):
+            assert Counter((r.doc_id, r.text or "") for r in dealt if r.shard == s) == sent[s]
     place = Counter()
     for seed in range(300):
         m = sharding.communication_matrix([5, 3, 2], 2, str(seed))
@@ -357,6 +410,32 @@ def test_url_filter(spark):
     assert url_filter.judge(df, [], id_col="page_id", url_col="url").where("verdict <> 'allow'").count() == 0
 
 
+def test_url_filter_of_many_rules(spark):
+    """4,000 pattern rules from a table against running all of them; a URL runs few of them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 5)))
+    rows = []
+    for i in range(4000):
+        a, b = word(), word()
+        rows.append((f"r{i}" if i % 2 else None, rf"(?:^|[./-]){a}[./-].*{b}(?:[./?-]|$)", [a, b], rng.choice(["allow", "block"]), i % 7))
+    rows += [rows[5], ("n", None, None, "block", 1), ("all", "zz+top", None, "block", 9)]
+    table = spark.createDataFrame(rows, "name string, pattern string, tokens array<string>, verdict string, rank int")
+    rules = list(url_filter.rules_of(table))
+    assert len(rules) == 4001
+    parts = [r[2] for r in rng.sample(rows[:4000], 40)]
+    urls = [f"http://{a}.example/{word()}/{b}" for a, b in parts] + [f"http://{word()}.com/{word()}" for _ in range(20)] + ["http://zzztop.com/", "http://zzztop.com/", None, "x" * 100_000 + "://zztop"]
+    got = [(r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, id_col="page_id", url_col="url").orderBy("page_id").collect()]
+    want, compiled = [], [(r, re.compile(r.pattern)) for r in rules]
+    for u in urls:
+        s = u.split("://", 1)[1] if u else ""
+        hit = next((r for r, p in compiled if s and p.search(s)), None)  # rules come by falling rank
+        want.append((hit.name, hit.verdict) if hit else (None, "allow"))
+    assert got == want and sum(r is not None for r, _ in want) > 15
+    counts = dict.fromkeys({t for r in rules for t in r.tokens}, 1)
+    index, always = url_filter.index_rules(rules, counts)
+    assert len(always) == 1 and max(map(len, index.values())) < 60
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
@@ -381,6 +460,22 @@ def test_toxicity(spark):
     assert all(r.severity == 0 for r in toxicity.score(df, empty, carry=["doc_id"]).collect())
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Severity and grade of every row from the weights and thresholds, computed apart; repeated ids learn from one text."""
+    rows = [(i, ("bad word " if i % 3 == 0 else "good ") + f"filler{i % 7} other") for i in range(90)] + [(0, "another text"), (0, "another text"), (95, "\u00c9t\u00e9 BAD!" * 2000), (96, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.learn(df, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] * 2, "doc_id long, toxic int"))
+    got = toxicity.score(df, model, carry=["doc_id", "text"]).collect()
+    for r in got:
+        found = set(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (r.text or "").lower()))
+        raw = {w.encode() for w in found}
+        s = sum(model.weights.get(w + b" ", 0) for w in raw) + sum(model.weights.get(p, 0) for p in {w[:n] for w in raw for n in (5, 6, 7, 8) if len(w) >= n})
+        below = [1 / (1 + np.exp(-(t - s))) for t in model.thresholds] + [1.0]
+        assert abs(r.severity - sum(1 - x for x in below)) < 1e-9 and r.toxic == (r.severity >= toxicity.REJECT)
+        assert r.grade == int(np.argmax(np.diff([0.0, *below])))
+    assert len(got) == len(rows) and sum(r.toxic for r in got) >= 30
+
+
 def test_ordinal_grades():
     """Four given grades come out in order."""
     rng = random.Random(6)
