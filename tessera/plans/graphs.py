@@ -82,10 +82,10 @@ def hub_outliers(spark, d):
 
 def impact_report(spark, d):
     edges, nodes = edges_and_nodes(spark, d)
-    return g.impact(edges, nodes.where("id % 7 = 0").select(F.col("id").alias("start")))
+    return g.impact(edges, nodes.where("id % 20 = 0").select(F.col("id").alias("start")))
 
 
-IMPACT = f"""WITH {TRANSITIONS}, s AS (SELECT id AS start FROM nodes WHERE id % 7 = 0),
+IMPACT = f"""WITH {TRANSITIONS}, s AS (SELECT id AS start FROM nodes WHERE id % 20 = 0),
 one AS (SELECT DISTINCT start, src AS node FROM s JOIN edges ON dst = start WHERE src <> start),
 two AS (SELECT DISTINCT start, e.src AS node FROM one JOIN edges e ON e.dst = one.node WHERE e.src <> start),
 r AS (SELECT start, node, min(depth) AS depth FROM (SELECT start, node, 1 AS depth FROM one UNION ALL SELECT start, node, 2 FROM two) GROUP BY start, node)
@@ -116,11 +116,11 @@ def zero_in_degree(spark, d):
 
 
 def scc_members(spark, d):
-    first = transitions(spark, d).where("pos < 20").select("src", "dst")
+    first = transitions(spark, d).select("src", "dst")
     return g.cycle_members(first).select("id")
 
 
-SCC = f"""WITH RECURSIVE {TRANSITIONS}, e AS (SELECT DISTINCT src, dst FROM calls WHERE pos < 20 AND src <> dst),
+SCC = f"""WITH RECURSIVE {TRANSITIONS}, e AS (SELECT DISTINCT src, dst FROM calls WHERE src <> dst),
 r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
 SELECT a AS id FROM r WHERE a = b"""
 

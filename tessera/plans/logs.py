@@ -99,18 +99,18 @@ def coverage_stats(spark, d):
 
 
 def drift_both_ways(spark, d):
-    left, right = table(spark, d, "documents").where("doc_id % 5 <> 0").select("doc_id"), table(spark, d, "labels").select("doc_id")
+    left, right = table(spark, d, "documents").where("n_chars % 5 <> 0").select("doc_id"), table(spark, d, "labels").select("doc_id")
     return m.drift(left, right, "doc_id", "unlabelled", "unknown")
 
 
 def contract_diff(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.split("p_type", " ").alias("fields"), "p_size")
-    new = p.where("p_partkey % 11 <> 0").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.slice("fields", 2, 10)).otherwise(F.col("fields")).alias("fields"), F.when(F.col("p_partkey") % 13 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("p_size"))
+    new = p.where("p_size % 11 <> 0").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.slice("fields", 2, 10)).otherwise(F.col("fields")).alias("fields"), F.when(F.col("p_partkey") % 13 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).alias("p_size"))
     return m.breaking_changes(p, new, key="p_partkey", required="fields", status="p_size")
 
 
 CONTRACT = """WITH o AS (SELECT p_partkey, string_split(p_type, ' ') AS f, p_size FROM part),
-n AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN f[2:] ELSE f END AS f, CASE WHEN p_partkey % 13 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM o WHERE p_partkey % 11 <> 0)
+n AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN f[2:] ELSE f END AS f, CASE WHEN p_partkey % 13 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM o WHERE p_size % 11 <> 0)
 SELECT p_partkey, 'removed' AS description FROM o WHERE p_partkey NOT IN (SELECT p_partkey FROM n)
 UNION ALL SELECT p_partkey, 'field removed: ' || x FROM (SELECT DISTINCT o.p_partkey, unnest(list_filter(o.f, lambda x: NOT list_contains(n.f, x))) AS x FROM o JOIN n USING (p_partkey))
 UNION ALL SELECT p_partkey, 'status ' || o.p_size || ' -> ' || n.p_size FROM o JOIN n USING (p_partkey) WHERE o.p_size <> n.p_size"""
@@ -119,11 +119,11 @@ UNION ALL SELECT p_partkey, 'status ' || o.p_size || ' -> ' || n.p_size FROM o J
 def recall_at_k(spark, d):
     """Recall at 5 of each label's vectors ranked by id against those with even ids; null where a label has none."""
     e = table(spark, d, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    truth = F.filter("ids", lambda x: (x % 2 == 0) & (x < 100))
+    truth = F.filter("ids", lambda x: x % 2 == 0)
     return e.select("label", F.round(m.recall_at(F.col("ids"), truth, 5), 8).alias("recall"))
 
 
-RECALL = """WITH g AS (SELECT label, list(vec_id ORDER BY vec_id) AS ids FROM embeddings GROUP BY label), t AS (SELECT label, ids, list_filter(ids, lambda x: x % 2 = 0 AND x < 100) AS truth FROM g)
+RECALL = """WITH g AS (SELECT label, list(vec_id ORDER BY vec_id) AS ids FROM embeddings GROUP BY label), t AS (SELECT label, ids, list_filter(ids, lambda x: x % 2 = 0) AS truth FROM g)
 SELECT label, round(len(list_intersect(ids[1:5], truth)) / nullif(len(truth), 0), 8) AS recall FROM t"""
 
 
@@ -251,7 +251,7 @@ ORACLES = {
     "majority_pattern": "SELECT event_type AS pattern, count(*) AS n, (SELECT count(event_type) FROM events) AS total FROM events WHERE event_type IS NOT NULL GROUP BY event_type ORDER BY n DESC, min(event_id) LIMIT 1",
     "pattern_violations": "SELECT p_partkey, p_brand FROM part WHERE p_brand <> (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, min(p_partkey) LIMIT 1)",
     "coverage_stats": "SELECT lang, round(100 * count(quality) / count(*), 6) AS coverage_pct, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality IS NULL) AS missing FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang",
-    "drift_both_ways": "SELECT doc_id, 'unlabelled' AS kind FROM documents WHERE doc_id % 5 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'unknown' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0)",
+    "drift_both_ways": "SELECT doc_id, 'unlabelled' AS kind FROM documents WHERE n_chars % 5 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'unknown' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars % 5 <> 0)",
     "contract_diff": CONTRACT,
     "recall_at_k": RECALL,
     "strategy_summary": "SELECT event_type, round(avg(v), 6) AS mean, round(median(v), 6) AS median, count(v) AS n FROM (SELECT event_type, CASE WHEN user_id % 3 <> 0 THEN value END AS v FROM events) GROUP BY event_type",

@@ -30,14 +30,14 @@ tf AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(toks) AS token F
 st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
 raw AS (SELECT token, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT token, count(*) AS df FROM tf GROUP BY token), st),
 idf AS (SELECT token, CASE WHEN raw < 0 THEN (SELECT avg(raw) * 0.25 FROM raw) ELSE raw END AS idf FROM raw),
-q AS (SELECT item_id AS query_id, unnest({TOK.format("text")}) AS token FROM benchmark WHERE item_id < 3),
+q AS (SELECT item_id AS query_id, unnest({TOK.format("text")}) AS token FROM benchmark WHERE item_id % 20 = 0),
 sc AS (SELECT query_id, tf.id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avgdl))), 9) AS score FROM q JOIN tf USING (token) JOIN idf USING (token) JOIN dt ON dt.id = tf.id, st GROUP BY query_id, tf.id),
 al AS (SELECT qs.query_id, dt.id, coalesce(score, 0) AS score FROM (SELECT DISTINCT query_id FROM q) qs CROSS JOIN dt LEFT JOIN sc ON sc.query_id = qs.query_id AND sc.id = dt.id),
 lex AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM al)"""
 
 
 def _vector_queries(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
 
 
 def _semantic(spark, d, k=ranking.POOL):
@@ -48,12 +48,12 @@ def knn_topk(spark, d):
     return _semantic(spark, d, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-KNN = """sv AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id < 3),
+KNN = """sv AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
 sem AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sv)"""
 
 
 def knn_by_vector(spark, d):
-    q = mean_vectors(table(spark, d, "embeddings").where("label < 2"), "label", "embedding").select(F.col("label").cast("long").alias("query_id"), F.col("mean").alias("qv"))
+    q = mean_vectors(table(spark, d, "embeddings").where("label is not null"), "label", "embedding").select(F.col("label").cast("long").alias("query_id"), F.col("mean").alias("qv"))
     found = ranking.nearest(table(spark, d, "embeddings"), q, id_col="vec_id", vector="embedding", top_k=5)
     return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
@@ -63,7 +63,7 @@ def _static(spark, d):
 
 
 def _churn(spark, d):
-    return table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 13).cast("double").alias("value"))
+    return table(spark, d, "documents").where("n_chars % 3 = 0").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 13).cast("double").alias("value"))
 
 
 def rrf_fusion(spark, d):
@@ -72,7 +72,7 @@ def rrf_fusion(spark, d):
 
 
 FUSE = """lists AS (SELECT query_id, id, max(CASE WHEN k = 0 THEN rank END) AS r0, max(CASE WHEN k = 1 THEN rank END) AS r1, max(CASE WHEN k = 2 THEN rank END) AS r2 FROM {0} GROUP BY query_id, id),
-sig AS (SELECT l.*, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n_chars % 97, 0) DESC, id) AS s0, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(CASE WHEN doc_id % 3 = 0 THEN n_chars % 13 END, 0) DESC, id) AS s1 FROM lists l LEFT JOIN documents ON doc_id = id),
+sig AS (SELECT l.*, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(n_chars % 97, 0) DESC, id) AS s0, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(CASE WHEN n_chars % 3 = 0 THEN n_chars % 13 END, 0) DESC, id) AS s1 FROM lists l LEFT JOIN documents ON doc_id = id),
 fu AS (SELECT query_id, id, coalesce(1.0::DOUBLE / (60 + r0), 0) + coalesce(1.0::DOUBLE / (60 + r1), 0) + coalesce(1.0::DOUBLE / (60 + r2), 0) + {1} AS score FROM sig),
 fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM fu)
 SELECT query_id, id, round(score, 9) AS score, rank FROM fr WHERE rank <= 20"""
@@ -80,13 +80,13 @@ _LISTS = "(SELECT query_id, id, rank, 0 AS k FROM lex WHERE rank <= 50 UNION ALL
 
 
 def hyde_fusion(spark, d):
-    third = table(spark, d, "embeddings").where("vec_id between 10 and 12").select((F.col("vec_id") - 10).alias("query_id"), F.col("embedding").alias("qv"))
+    third = table(spark, d, "embeddings").where("vec_id % 20 = 10").select((F.col("vec_id") - 10).alias("query_id"), F.col("embedding").alias("qv"))
     hyde = ranking.nearest(table(spark, d, "embeddings"), third, id_col="vec_id", vector="embedding")
     out = ranking.fuse([_lexical(spark, d), _semantic(spark, d), hyde])
     return out.select("query_id", "id", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
-HYDE = """hv AS (SELECT q.vec_id - 10 AS query_id, c.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id BETWEEN 10 AND 12),
+HYDE = """hv AS (SELECT q.vec_id - 10 AS query_id, c.vec_id AS id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 10),
 hy AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hv)"""
 
 
@@ -164,7 +164,7 @@ def naive_term_scoring(spark, d):
     return ranking.ranked(hits, 5).select("query_id", "id", "score")
 
 
-NAIVE = """WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3)) AS w FROM benchmark WHERE item_id < 3),
+NAIVE = """WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3)) AS w FROM benchmark WHERE item_id % 20 = 0),
 s AS (SELECT query_id, doc_id AS id, CAST(sum((length(lower(text)) - length(replace(lower(text), w, ''))) // length(w)) AS BIGINT) AS score FROM q, documents GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s)
 SELECT query_id, id, score FROM r WHERE n <= 5"""
@@ -178,7 +178,7 @@ ORACLES = {
     "tokenize_terms": f"SELECT token, count(*) AS n FROM (SELECT unnest({TOK.format('text')}) AS token FROM documents) GROUP BY token",
     "bm25_topk": f"WITH {BM25} SELECT query_id, id, round(score, 6) AS score, rank FROM lex WHERE rank <= 10",
     "knn_topk": f"WITH {KNN} SELECT query_id, id, round(score, 6) AS score, rank FROM sem WHERE rank <= 10",
-    "knn_by_vector": """WITH c AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label < 2) GROUP BY label, i) GROUP BY label),
+    "knn_by_vector": """WITH c AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label IS NOT NULL) GROUP BY label, i) GROUP BY label),
 s AS (SELECT c.label::BIGINT AS query_id, vec_id AS id, list_dot_product(embedding::DOUBLE[], v) AS score FROM embeddings, c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s)
 SELECT query_id, id, round(score, 6) AS score FROM r WHERE n <= 5""",
     "rrf_fusion": f"WITH {BM25}, {KNN}, {FUSE.format(_LISTS.format(''), '1.0::DOUBLE / (60 + s0) + 1.0::DOUBLE / (60 + s1)')}",

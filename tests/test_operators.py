@@ -142,3 +142,32 @@ def test_history(spark, tmp_path):
 def test_config():
     assert logs.merged({"a": {"b": 1, "c": [1]}}, {"a": {"c": [2]}}) == {"a": {"b": 1, "c": [2]}}
     assert logs.is_enabled({"experimental": {"enabled": True, "hyde": True}}, "hyde") and not logs.is_enabled({"experimental": {"hyde": True}}, "hyde")
+
+
+def test_bm25_fills_with_documents_that_share_no_token(spark):
+    """The only query token is in most documents, so its weight is negative and documents without it come first."""
+    docs = spark.createDataFrame([(i, "common word" if i < 20 else f"other text{i}") for i in range(30)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "common"), (2, "text25"), (3, "absent")], "query_id long, query string")
+    got = ranking.bm25(docs, queries, id_col="doc_id", text=F.col("text"), top_k=5).orderBy("query_id", "rank").collect()
+    by = {q: [(r.id, r.score) for r in got if r.query_id == q] for q in (1, 2, 3)}
+    assert by[1] == [(i, 0.0) for i in range(20, 25)]
+    assert by[2][0][0] == 25 and by[2][0][1] > 0 and by[2][1:] == [(i, 0.0) for i in range(4)]
+    assert by[3] == [(i, 0.0) for i in range(5)]
+
+
+def test_near_duplicates_leave_out_linked_pairs(spark):
+    vectors = spark.createDataFrame([(i, [1.0, 0.01 * i], i) for i in range(4)], "id long, v array<double>, g long")
+    edges = spark.createDataFrame([(2, 1)], "src long, dst long")
+    pairs = lambda e: {(r.a, r.b) for r in ranking.similar_pairs(vectors, id_col="id", vector="v", group_col="g", threshold=0.9, edges=e).collect()}
+    assert pairs(None) - pairs(edges) == {(1, 2)} and len(pairs(None)) == 6
+
+
+def test_nearest_in_blocks(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(30)], "id long, v array<double>")
+    queries = vectors.where("id % 3 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    run = lambda b: sorted(map(tuple, ranking.nearest(vectors, queries, id_col="id", vector="v", top_k=4, block_bytes=b).collect()))
+    want = []
+    for q in range(0, 30, 3):
+        best = sorted((-((q % 5) * (i % 5) + 1.0), i) for i in range(30))[:4]
+        want += [(q, i, -s, k + 1) for k, (s, i) in enumerate(best)]
+    assert run(64) == run(1 << 20) == want
