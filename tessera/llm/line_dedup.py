@@ -51,7 +51,8 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, run: int = RUN
     """(doc, of, start, n): each window that has an earlier equal. ``of`` is the hash of the text."""
     # The hash and the windows are columns before the explode, so that no window carries its text.
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("of"), _windows(F.col(text_col), run, words).alias("ws"))
-    windows = rows.select("doc", "of", F.explode("ws").alias("w")).select("doc", "of", "w.*")
+    # Short rows, read twice: cheaper to keep than to take from the texts again.
+    windows = checkpointed(rows.select("doc", "of", F.explode("ws").alias("w")).select("doc", "of", "w.*"))
     # Selected positions: a fingerprint with a single one can't be in a repeated window.
     place = F.xxhash64("doc", "of", "at")
     shared = windows.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
