@@ -6,13 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import checks, documents, governor, graphs, mining, ranking, resolution
 from tessera.operators.lineage import checkpointed
-from tessera.sources import python_code
+from tessera.sources import python_code, snapshots
 from tessera.sources.python_code import Code
 
 
@@ -28,6 +28,7 @@ class Index:
     clusters: DataFrame
     test_links: DataFrame
     embeddings: DataFrame | None = None
+    facts: DataFrame | None = None
 
     def list_symbols(self, glob: str = "*", kinds: list[str] | None = None, name: str = "", members: DataFrame | None = None) -> DataFrame:
         out = self.code.symbols.where(F.col("file_path").rlike(tx.glob_to_regex(glob)) & F.lower("qualified_name").contains(name.lower()))
@@ -81,6 +82,28 @@ class Index:
     def dead_code(self) -> DataFrame:
         return checks.dead_code(self.code, self.edges)
 
+    def duplicates(self, threshold: float = 0.9) -> DataFrame:
+        """(a, b, similarity) of like symbols in different files, without pairs of which one calls or inherits the other;
+        empty without embeddings."""
+        if self.embeddings is None:
+            return self.spark.createDataFrame([], "a string, b string, similarity double")
+        placed = self.embeddings.join(self.code.symbols.select("id", "file_path"), "id")
+        direct = self.edges.where(F.col("edge_type").isin("CALLS", "INHERITS")).select("src", "dst")
+        found = ranking.similar_pairs(placed, id_col="id", vector="embedding", group_col="file_path", threshold=threshold, edges=direct)
+        return found.orderBy(F.col("similarity").desc(), "a", "b")
+
+    def check(self, limit: int = 20) -> DataFrame:
+        """(check, total, findings): the checks that need nothing but the code, the first ``limit`` findings of each."""
+        dead = self.dead_code().select(F.lit("dead_code").alias("check"), F.concat_ws("::", "file_path", "qualified_name").alias("text"), F.lit(0.0).alias("order"))
+        name = lambda end: self.code.symbols.select(F.col("id").alias(end), F.col("qualified_name").alias(f"{end}_name"))
+        pairs = self.duplicates().join(name("a"), "a").join(name("b"), "b")
+        twins = pairs.select(F.lit("duplicates").alias("check"), F.format_string("%s <-> %s (%.3f)", "a_name", "b_name", "similarity").alias("text"), (-F.col("similarity")).alias("order"))
+        place = Window.partitionBy("check").orderBy("order", "text")
+        rows = dead.unionByName(twins).withColumns({"n": F.row_number().over(place), "total": F.count(F.lit(1)).over(Window.partitionBy("check"))}).where(F.col("n") <= limit)
+        lists = rows.groupBy("check").agg(F.max("total").alias("total"), F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]).alias("findings"))
+        names = self.spark.createDataFrame([("dead_code",), ("duplicates",)], "check string")
+        return names.join(lists, "check", "left").select("check", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("findings", F.array().cast("array<string>")).alias("findings"))
+
     def untested(self) -> DataFrame:
         bare = self.code.symbols.where(~tx.is_test_file(F.col("file_path"))).select("id").join(self.edges.where("edge_type = 'TESTS'").select(F.col("dst").alias("id")), "id", "left_anti")
         found = graphs.impact(self.edges, bare.select(F.col("id").alias("start"))).select(F.col("start").alias("id"), (F.col("direct") + F.col("transitive")).alias("impact")).where("impact > 0")
@@ -178,9 +201,27 @@ class Index:
         return mining.decayed_sum(touches, self.code.symbols, key="id", days=(F.lit(now) - F.col("committed_at")) / 86400)
 
 
-def build(spark: SparkSession, files: DataFrame, embedder: Callable[[list[str]], np.ndarray] | None = None, cache: DataFrame | None = None) -> Index:
-    """files: (path, content). PageRank and clusters are taken before test links join the graph."""
-    code = python_code.tables(checkpointed(python_code.facts(files)))
+#: Parsed files with the hash of what was parsed.
+KNOWN = f"{python_code.FACTS}, file_hash string"
+#: A change of how files are parsed raises this, and nothing kept by an older version is used again.
+VERSION = 1
+
+
+def parsed(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Facts of all ``files`` (path, content): those of ``known`` where path and content are unchanged, else read anew. Paths that are
+    gone fall out."""
+    now = files.withColumn("file_hash", F.sha2("content", 256))
+    kept = known.join(now.select("path", "file_hash"), ["path", "file_hash"], "left_semi")
+    new = now.join(known.select("path", "file_hash"), ["path", "file_hash"], "left_anti")
+    fresh = python_code.facts(new).join(new.select("path", "file_hash"), "path")
+    return kept.unionByName(fresh)
+
+
+def build(spark: SparkSession, files: DataFrame, embedder: Callable[[list[str]], np.ndarray] | None = None, cache: DataFrame | None = None, known: DataFrame | None = None) -> Index:
+    """files: (path, content), a row a path. PageRank and clusters are taken before test links join the graph. Files in ``known`` (``facts`` of
+    an earlier index) are not parsed again, symbols in ``cache`` (its ``embeddings``) not encoded again."""
+    found = checkpointed(parsed(files, spark.createDataFrame([], KNOWN) if known is None else known))
+    code = python_code.tables(found)
     edges, unresolved = resolution.code_graph(code)
     edges, nodes = checkpointed(edges), code.symbols.select("id")
     scores, _ = graphs.pagerank(edges, nodes)
@@ -191,4 +232,22 @@ def build(spark: SparkSession, files: DataFrame, embedder: Callable[[list[str]],
         s = code.symbols.select("id", "content_hash", tx.embedding_text(F.col("qualified_name"), F.col("signature"), F.col("docstring")).alias("text"))
         empty = spark.createDataFrame([], "id string, content_hash string, embedding array<double>")
         vectors = checkpointed(ranking.embed_missing(s, cache if cache is not None else empty, embedder))
-    return Index(spark, code, checkpointed(resolution.with_tests(edges, links)), unresolved, checkpointed(scores), clusters, links, vectors)
+    return Index(spark, code, checkpointed(resolution.with_tests(edges, links)), unresolved, checkpointed(scores), clusters, links, vectors, found)
+
+
+def refreshed(index: Index, files: DataFrame, embedder: Callable[[list[str]], np.ndarray] | None = None) -> Index:
+    """The index of ``files`` as they are now: only new and changed files are parsed and encoded; the graph is built anew."""
+    return build(index.spark, files, embedder, index.embeddings, index.facts)
+
+
+def opened(spark: SparkSession, files: DataFrame, folder: str, embedder: Callable[[list[str]], np.ndarray] | None = None, profile: str = "default") -> Index:
+    """An index that keeps its parsed files and embeddings below ``folder``, in a part for each version and ``profile`` (the name of
+    the embedder): another of either starts from nothing."""
+    home = f"{folder}/{VERSION}-{profile}"
+    known = snapshots.load(spark, f"{home}/facts", KNOWN)
+    cache = snapshots.load(spark, f"{home}/embeddings", "id string, content_hash string, embedding array<double>")
+    index = build(spark, files, embedder, cache, known)
+    snapshots.save(index.facts, f"{home}/facts")
+    if index.embeddings is not None:
+        snapshots.save(index.embeddings, f"{home}/embeddings")
+    return index

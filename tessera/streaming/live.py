@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def file_changes(spark: SparkSession, root: str, pattern: str = "*.py") -> DataFrame:
+    """(path, content, ts): a stream of the files that appear below ``root``. A stream of files takes each name once, so changes are
+    published under new names; a tree that is edited in place is compared by hash instead (``history.stale_files``)."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    raw = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    return raw.select("path", "content", F.col("modificationTime").alias("ts"))
+
+
 def settled(changes: DataFrame, silence: str = "300 milliseconds", late: str = "5 seconds") -> DataFrame:
     """(path, changed_at, events): a path settles after a silence. changes: (path, ts timestamp)."""
     w = changes.withWatermark("ts", late).groupBy("path", F.session_window("ts", silence))
