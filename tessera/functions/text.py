@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import fnmatch
+import math
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +60,16 @@ def token_estimate(text: Column, factor: float = 1.1) -> Column:
     return F.when(text.isNull() | (F.length(text) == 0), 0).otherwise(F.ceil(pieces * F.lit(factor))).cast("long")
 
 
+def counted_by(count: Callable[[str], int], factor: float = 1.1) -> Callable[[Column], Column]:
+    """What ``token_estimate`` does, by a tokenizer that is handed in: ``count`` gives the tokens of a text."""
+
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: math.ceil(count(t) * factor) if t else 0)
+
+    return run
+
+
 def discovery_text(signature: Column, docstring: Column) -> Column:
     return F.concat_ws("\n", signature, F.nullif(F.split(docstring, "\n")[0], F.lit("")))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.functions.text import hunk_overlaps
+from tessera.sources.python_code import read_file
 
 # What makes a commit a task.
 MOST_FILES, LEAST_SUBJECT = 15, 15
@@ -122,6 +123,22 @@ def tasks(rows: DataFrame, symbols_at_parent: DataFrame) -> DataFrame:
     return usable.select("sha", F.col("subject").alias("description"), "committed_at").join(found, "sha", "left")
 
 
+def symbols_before(rows: DataFrame, repo: str) -> DataFrame:
+    """(sha, id, file_path, line_start, line_end) of the Python files that commits change, as their first parents have them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for sha, parent, path in zip(pdf["sha"], pdf["parent"], pdf["path"], strict=True):
+                content = subprocess.run(["git", "-C", repo, "show", f"{parent}:{path}"], capture_output=True, check=True).stdout
+                found += [(sha, s["id"], path, s["line_start"], s["line_end"]) for s in read_file(path, content)["symbols"]]
+            yield pd.DataFrame(found, columns=["sha", "id", "file_path", "line_start", "line_end"])
+
+    changed = hunks(rows).where(F.col("path").endswith(".py")).select("sha", "path").distinct()
+    at = changed.join(rows.select("sha", F.col("parents")[0].alias("parent")), "sha").select("sha", "parent", "path")
+    return at.mapInPandas(run, "sha string, id string, file_path string, line_start int, line_end int")
+
+
 def split_by_time(rows: DataFrame, cutoff: float) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("committed_at") < cutoff), rows.where(F.col("committed_at") >= cutoff)
 

@@ -12,7 +12,7 @@ import inspect
 import io
 import re
 import tokenize
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -200,6 +200,17 @@ def read_file(path: str, content: bytes) -> dict:
     return {"path": path, "error": None, "symbols": sorted(r.symbols, key=lambda s: s["byte_start"]), "imports": r.imports()}
 
 
+#: What reads a file of a language into facts.
+READERS = {"python": read_file}
+
+
+def reader_of(language: str) -> Callable[[str, bytes], dict]:
+    """The reader of a language; a ValueError for one without."""
+    if language not in READERS:
+        raise ValueError(f"no reader for {language!r}; there is {', '.join(sorted(READERS))}")
+    return READERS[language]
+
+
 def files_under(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
     """(path, content) of the Python files below ``root``; paths are relative to it."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.py").option("recursiveFileLookup", True).load(root)
