@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -196,6 +197,22 @@ class Index:
         as_json = lambda df, name: df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias(name))
         return as_json(self.smells(), "smells").crossJoin(as_json(self.dead_code().limit(graphs.CAP), "dead_code")).crossJoin(as_json(self.untested(), "untested"))
 
+    def static_analysis(self, limit: int = 30, **drift: DataFrame | None) -> str:
+        """JSON of dead code, duplicates and each kind of drift (key, kind): totals and the first ``limit`` findings; null for a
+        kind whose other side isn't there."""
+        out = {r["check"]: {"total": r["total"], "findings": r["findings"]} for r in self.check(limit).collect()}
+        for name, found in drift.items():
+            out[name] = None
+            if found is not None:
+                key = found.columns[0]
+                out[name] = {"total": found.count(), "findings": [f"{r[key]} ({r['kind']})" for r in found.orderBy("kind", key).limit(limit).collect()]}
+        return json.dumps(out)
+
+    def overview(self) -> str:
+        """JSON of the conventions and of the leading parts of the architecture."""
+        rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+        return json.dumps({"conventions": rows(self.conventions()), "architecture": rows(self.architecture())}, default=str)
+
     def churn(self, touches: DataFrame, now: float) -> DataFrame:
         """touches: (id, committed_at), a row for every overlapping hunk."""
         return mining.decayed_sum(touches, self.code.symbols, key="id", days=(F.lit(now) - F.col("committed_at")) / 86400)
