@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, split_join
+from tessera.llm.common import LISTED, checkpointed, split_join
 from tessera.llm.components import components
 
 SHINGLE, MAX_BITS, SEED, TILE = 3, 3, 42, 4096
@@ -100,12 +100,17 @@ def replicas(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.concat(anchors(low), F.transform(anchors(high), lambda a: -1 - a))).alias("anchor"), "fp")
 
 
-def tiled(rows: DataFrame, tile: int) -> DataFrame:
-    """(anchor, i, j, fp, mine): an anchor of n fingerprints becomes k = ceil(n / tile) tiles; group (i, j) holds tiles i and j."""
-    hot = rows.groupBy("anchor").count().where(F.col("count") > tile).select("anchor", F.ceil(F.col("count") / tile).cast("int").alias("k"))
+def tiled(rows: DataFrame, tile: int, total: int | None = None) -> DataFrame:
+    """(anchor, i, j, mine, fp, *more): an anchor of n fingerprints becomes k = ceil(n / tile) tiles; group (i, j) holds tiles i and j.
+
+    ``total``: the number of rows, where it is known. The list of hot anchors is then broadcast and has fewer than LISTED rows."""
+    words = [c for c in rows.columns if c != "anchor"]
+    limit = tile if total is None else max(tile, total // LISTED)
+    hot = rows.groupBy("anchor").count().where(F.col("count") > limit).select("anchor", F.ceil(F.col("count") / limit).cast("int").alias("k"))
     k, mine = F.coalesce("k", F.lit(1)), F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int")
-    wide = rows.join(hot, "anchor", "left").select("anchor", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
-    return wide.select("anchor", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "mine")
+    met = rows.join(hot if total is None else F.broadcast(hot), "anchor", "left")
+    wide = met.select("anchor", *words, mine.alias("mine"), F.explode(F.sequence(F.lit(0), k - 1)).alias("other"))
+    return wide.select("anchor", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", *words)
 
 
 class _Forest:
@@ -138,24 +143,35 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))  # of signed numbers numpy would count the bits of the absolute value
 
 
-def _link_small(keys: np.ndarray, fps: np.ndarray, forest: _Forest, max_bits: int, reach: int) -> None:
-    """Groups lie together; compares each row with the next ones, ``reach`` at most, of its group."""
+def _apart(words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The differing bits, over all words, of the rows at the places ``a`` and ``b``."""
+    out = _bits(words[0][a] ^ words[0][b])
+    for w in words[1:]:
+        out = out + _bits(w[a] ^ w[b]).astype(np.uint16)
+    return out
+
+
+def _link_small(keys: np.ndarray, words: list[np.ndarray], forest: _Forest, max_bits: int, reach: int) -> None:
+    """Groups lie together; compares each row with the next ones, ``reach`` at most, of its group. The first word names a row."""
+    fps = words[0]
     for s in range(1, reach):
         same = np.flatnonzero(keys[s:] == keys[:-s])
         if not len(same):
             break
-        near = same[_bits(fps[same] ^ fps[same + s]) <= max_bits]
+        near = same[_apart(words, same, same + s) <= max_bits]
         for a, b in zip(fps[near].tolist(), fps[near + s].tolist(), strict=True):
             forest.join(a, b)
 
 
-def _link_large(fps: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray, forest: _Forest, max_bits: int) -> None:
-    """``left`` x ``right`` (places in fps) by rows of 512. ``label``: the component so far of each place; only links
+def _link_large(words: list[np.ndarray], left: np.ndarray, right: np.ndarray, label: np.ndarray, forest: _Forest, max_bits: int) -> None:
+    """``left`` x ``right`` (places in the words) by rows of 512. ``label``: the component so far of each place; only links
     that join two of them are reported."""
+    fps = words[0]
     for i in range(0, len(left), 512):
         rows = left[i : i + 512]
-        near = _bits(fps[rows][:, None] ^ fps[right][None, :]) <= max_bits
-        for k, touched in zip(rows.tolist(), near, strict=True):
+        near = _apart(words, rows[:, None], right[None, :]) <= max_bits
+        some = np.flatnonzero((near & (label[rows][:, None] != label[right][None, :])).any(axis=1))  # of the rest no link is new
+        for k, touched in zip(rows[some].tolist(), near[some], strict=True):
             met, first = np.unique(label[right[touched]], return_index=True)
             others = met != label[k]
             if others.any():
@@ -171,19 +187,22 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFra
     return met(replicas(fps), max_bits, tile)
 
 
-def met(rows: DataFrame, max_bits: int, tile: int = TILE) -> DataFrame:
-    """(u, v): edges whose components are those of all pairs within ``max_bits`` that share an anchor in ``rows`` (anchor, fp)."""
+def met(rows: DataFrame, max_bits: int, tile: int = TILE, total: int | None = None) -> DataFrame:
+    """(u, v): edges whose components are those of all pairs within ``max_bits`` that share an anchor in ``rows`` (anchor, fp).
+
+    Columns after fp are further words of a wider fingerprint: the bits of all words count, fp names the row."""
+    n_words = len(rows.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
 
-        def work(key: np.ndarray, fp: np.ndarray, mine: np.ndarray) -> None:
+        def work(key: np.ndarray, mine: np.ndarray, *words: np.ndarray) -> None:
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[cuts, len(key)])
             small = np.repeat(sizes <= 64, sizes) & np.repeat(sizes > 1, sizes)
-            _link_small(key[small], fp[small], forest, max_bits, 64)
+            _link_small(key[small], [w[small] for w in words], forest, max_bits, 64)
             for a, n in zip(cuts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-                group, of = fp[a : a + n], mine[a : a + n]
+                group, of = [w[a : a + n] for w in words], mine[a : a + n]
                 at, label = np.arange(n), np.arange(n)
                 if of.min() == of.max():
                     for i in range(0, n, 512):
@@ -195,9 +214,9 @@ def met(rows: DataFrame, max_bits: int, tile: int = TILE) -> DataFrame:
             got = forest.drain()
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], names=["u", "v"])
 
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
-            anchor, i, j, fp, mine = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            anchor, i, j, *columns = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4 + n_words))
             # Groups are told apart by a number that changes where (anchor, i, j) does.
             key = anchor.astype(np.int64) * 1_000_003 + i.astype(np.int64) * 50_021 + j
             if not len(key):
@@ -208,16 +227,16 @@ def met(rows: DataFrame, max_bits: int, tile: int = TILE) -> DataFrame:
                 yield out()
             last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
             if last:
-                parts = [*held, (key[:last], fp[:last], mine[:last])]
+                parts = [*held, (key[:last], *(c[:last] for c in columns))]
                 work(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 held = []
                 yield out()
-            held.append((key[last:], fp[last:], mine[last:]))
+            held.append((key[last:], *(c[last:] for c in columns)))
         if held:
             work(*(np.concatenate(x) for x in zip(*held, strict=True)))
         yield out()
 
-    groups = tiled(rows, tile)
+    groups = tiled(rows, tile, total)
     return groups.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(run, "u long, v long").distinct()
 
 

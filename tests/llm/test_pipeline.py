@@ -126,3 +126,72 @@ def test_rows_with_null_and_repeated_ids_stay(spark, folder):
     wanted -= Counter({rows[1]: 1, rows[25]: 1})
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert Counter(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, folder[0]).collect())) == wanted
+
+
+@pytest.mark.parametrize("seed", [5830, 8017, 13757, 64777])
+def test_near_copies_meet_by_fingerprints(spark, folder, seed):
+    """45 shingles each, 40 in common; the least values of their hashes share no band of six out of 32."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(5000)}" for _ in range(49)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:22], "new", *words[23:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder[0]).collect()] == [1]
+
+
+def test_anchors_cover_blocks():
+    import numpy as np
+
+    from tessera.llm import near_copies
+    from tessera.llm.simhash import majority
+
+    rng = np.random.default_rng(3)
+    code = near_copies.nearest(np.arange(1 << 23))
+    assert np.bitwise_count(code ^ np.arange(1 << 23)).max() == 3 and (near_copies.nearest(code) == code).all()
+    assert len(np.unique(code)) == len(np.unique(code >> 11)) == 4096
+    for n, shared in ((9, 8), (45, 40), (270, 240)):
+        left, right = [], []
+        for _ in range(300):
+            h = rng.integers(0, 1 << 64, 2 * n - shared, np.uint64)
+            left.append(near_copies.fingerprint(h[:n]))
+            right.append(near_copies.fingerprint(h[-n:]))
+            assert int.from_bytes(left[-1][:8], "little") == majority(h[:n])
+        left, right = (np.frombuffer(b"".join(x), np.uint8).reshape(300, -1) for x in (left, right))
+        for free in (0, 2):
+            assert (near_copies.anchors(left, free) == near_copies.anchors(right, free)).any(axis=1).all()
+    assert [near_copies.free_bits(n) for n in (0, 1, 1 << 23, (1 << 23) + 1, 1 << 26)] == [0, 0, 0, 1, 3]
+
+
+@pytest.mark.parametrize("tile", [20, 150, 4096])
+def test_wide_fingerprints_at_anchors(spark, tile):
+    from tessera.llm import components, simhash
+
+    rng = random.Random(9)
+    rows = []
+    for g, n in enumerate([2, 5, 40, 120, 300]):  # groups below and above 64 rows
+        base = [rng.getrandbits(64) for _ in range(3)]
+        for _ in range(n):
+            if rng.random() < 0.2:
+                base = [rng.getrandbits(64) for _ in range(3)]
+            words = list(base)
+            for _ in range(rng.randint(0, 7)):
+                words[rng.randrange(3)] ^= 1 << rng.randrange(64)
+            rows.append((g, *(w - (1 << 64) if w >> 63 else w for w in words)))
+    at = {}
+    for r in rows:
+        at.setdefault(r[0], []).append(r[1:])
+    root = {r[1]: r[1] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for group in at.values():
+        for a in group:
+            for b in group:
+                if sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(a, b, strict=True)) <= 10 and (u := find(a[0])) != (v := find(b[0])):
+                    root[max(u, v)] = min(u, v)
+    for total in (None, len(rows)):
+        edges = simhash.met(spark.createDataFrame(rows, "anchor long, fp long, fp1 long, fp2 long"), 10, tile, total)
+        got = {r.node: r.root for r in components.components(edges).collect()}
+        assert got == {x: find(x) for x in root if find(x) != x}
